@@ -58,6 +58,30 @@ def sets_of(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(rows[new], np.arange(n_docs + 1))
 
 
+def parity_bits(values: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A bitmap of each set, of a power of two of bits, its size or more: the parity of the hashes that fall on each bit.
+
+    Bits in which two such maps differ are at most the elements in which the sets differ.
+    """
+    n = np.diff(first)
+    bits = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    place = (values >> np.uint64(24)).astype(np.int64) & (bits[row] - 1)
+    raw = np.packbits((np.bincount(at[row] + place, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def folded_difference(a: bytes, b: bytes) -> int:
+    """Bits in which two parity maps differ, the longer one folded onto the shorter."""
+    one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(one) < len(two):
+        one, two = two, one
+    while len(one) > len(two):
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
+
+
 def digests(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return K.as_long(K.span_hashes(values, first[:-1], first[1:], 5))
 
@@ -102,21 +126,21 @@ def whole(pieces: dict[int, np.ndarray], size: int) -> np.ndarray:
 
 
 def profiles(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, dg) of every document, dg naming its set, and the order of magnitude of each shingle counter."""
+    """(doc_id, n, dg, bits) of every document, dg naming its set, and the order of magnitude of each shingle counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for keys, values, first in _blocks(batches, k):
             sketch += np.bincount((values & np.uint64(len(sketch) - 1)).astype(np.int64), minlength=len(sketch))
             m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first), pa.int32()), pa.array(digests(values, first)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["doc_id", "n", "dg", "piece", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first), pa.int32()), pa.array(digests(values, first)), pa.nulls(m, pa.int32()), pa.array(parity_bits(values, first), pa.binary())], names=["doc_id", "n", "dg", "piece", "bytes"])
         got = _pieces(np.minimum(sketch, 65535).astype("<u2"))
         m = len(got)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), got.column(0), got.column(1)], names=["doc_id", "n", "dg", "piece", "bytes"])
 
     both = stored(rows.mapInArrow(run, "doc_id long, n int, dg long, piece int, bytes binary"), "jaccard-profiles")
     ranks = whole(merged(both.where("piece is not null"), "<u2", "sum"), 1 << SKETCH_BITS)
-    return both.where("piece is null").select("doc_id", "n", "dg"), ranks
+    return both.where("piece is null").select("doc_id", "n", "dg", F.col("bytes").alias("bits")), ranks
 
 
 def memberships(rows: DataFrame, ranks, k: int, percent: int) -> DataFrame:
@@ -143,10 +167,10 @@ def memberships(rows: DataFrame, ranks, k: int, percent: int) -> DataFrame:
 
 
 def with_pivots(regions: DataFrame) -> DataFrame:
-    """(c, p, x, n): members of each region of two or more sets with its pivot, the first x. Streams through regions of any size."""
+    """(c, p, pn, x, n): members of each region of two or more sets with its pivot, the first x. Streams through regions of any size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_c = last_x = pivot = None
+        last_c = last_x = pivot = size_p = None
         pending = None  # a pivot whose own row is still to come
         for batch in batches:
             c, x, n = (batch.column(i).to_numpy() for i in range(3))
@@ -164,27 +188,29 @@ def with_pivots(regions: DataFrame) -> DataFrame:
             head = np.flatnonzero(new)
             run_no = np.cumsum(new)
             p = np.append(pivot if pivot is not None else 0, x[head])[run_no]
+            pn = np.append(size_p if size_p is not None else 0, n[head])[run_no]
             size = np.bincount(run_no, minlength=len(head) + 1)
             keep = ~new | (size[run_no] > 1)
-            out = [c[keep], p[keep], x[keep], n[keep]]
+            out = [c[keep], p[keep], pn[keep], x[keep], n[keep]]
             if pending is not None and not new[0]:
                 out = [np.append(a, b) for a, b in zip(out, pending, strict=True)]
                 pending = None
             elif new[0]:
                 pending = None
             if len(head) and size[-1] == 1:
-                pending = (c[-1], x[-1], x[-1], n[-1])
+                pending = (c[-1], x[-1], n[-1], x[-1], n[-1])
             elif len(head):
                 pending = None
-            last_c, last_x, pivot = c[-1], x[-1], p[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(out[3], pa.int32())], names=["c", "p", "x", "n"])
+            last_c, last_x, pivot, size_p = c[-1], x[-1], p[-1], pn[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3]), pa.array(out[4].astype(np.int32))], names=["c", "p", "pn", "x", "n"])
 
-    return regions.select("c", "x", "n").repartition("c").sortWithinPartitions("c", "x").mapInArrow(run, "c long, p long, x long, n int")
+    return regions.select("c", "x", "n").repartition("c").sortWithinPartitions("c", "x").mapInArrow(run, "c long, p long, pn int, x long, n int")
 
 
-def wanted_sets(spark: SparkSession, rows: DataFrame, reps: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(dg, body): the sets of members, each from the smallest doc_id that has it."""
-    ids = members.select(F.col("x").alias("dg")).distinct().join(reps, "dg").select("rep")
+def wanted_sets(spark: SparkSession, rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(dg, body): the sets that pairs name, each from the smallest doc_id that has it."""
+    reps = reps.select("rep", "dg")
+    ids = pairs.select(F.col("x").alias("dg")).unionByName(pairs.select(F.col("p").alias("dg"))).distinct().join(reps, "dg").select("rep")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
@@ -206,6 +232,23 @@ def wanted_sets(spark: SparkSession, rows: DataFrame, reps: DataFrame, members:
     return stored(found.join(reps, ["rep", "dg"], "left_semi").select("dg", "body").dropDuplicates(["dg"]), "jaccard-sets")
 
 
+def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parity maps allow the threshold; none that reaches it is lost."""
+    a, b = (reps.select(F.col("dg").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"b_{name}")) for name in ("x", "p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, x, n_p, n_x, left, right = (batch.column(i) for i in range(6))
+            total = (n_p.to_numpy() + n_x.to_numpy()).astype(np.int64)
+            differ = np.fromiter((folded_difference(left[i].as_py(), right[i].as_py()) for i in range(len(p))), np.int64, len(p))
+            # sets that differ in s elements have (total - s) / 2 in common and (total + s) / 2 in all
+            keep = pa.array(100 * (total - differ) >= percent * (total + differ))
+            yield pa.RecordBatch.from_arrays([p.filter(keep), x.filter(keep)], names=["p", "x"])
+
+    joined = pairs.join(a, "x").join(b, "p").where(f"100 * least(n_x, n_p) >= {percent} * greatest(n_x, n_p)")
+    return joined.select("p", "x", "n_p", "n_x", "b_x", "b_p").mapInArrow(run, "p long, x long")
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(p, x, inter, total): sizes of intersection and union of two sets, exactly."""
     a, b = (sets.select(F.col("dg").alias(name), F.col("body").alias(f"s_{name}")) for name in ("x", "p"))
@@ -227,15 +270,20 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def banded(rows: DataFrame, percent: int) -> DataFrame:
-    """Cut regions (c, x, n, inter, total, label) with several labels into bands of pivot distance and size."""
+    """Cut regions (c, x, n, d, label) without their pivots into bands of pivot distance and size.
+
+    d is null where only d > threshold is known: such a member goes to all bands it can be in.
+    """
     several = rows.groupBy("c").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("c")
     left = rows.join(several, "c", "left_semi")
-    far = F.floor((F.col("total") - F.col("inter")) * 100 / ((100 - percent) * F.col("total"))).cast("int")
-    size = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-    # one more band of size on either side of a border that rounding could move
-    cut = left.withColumn("far", far).withColumn("size", size)
-    cut = cut.withColumn("far", F.explode(F.array(F.col("far"), F.col("far") + 1))).withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    cut = cut.select(F.xxhash64("c", "far", "size").alias("c"), "x", "n", "inter", "total", "label")
+    step = (100 - percent) / 100
+    last = math.ceil(1 / step)
+    far = F.floor(F.col("d") / step + 1e-9).cast("int")
+    fars = F.when(F.col("d").isNull(), F.sequence(F.lit(1), F.lit(last))).otherwise(F.sequence(far, far + 1))
+    size = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    # a size next to a border may round to either side: one more band below
+    cut = left.withColumn("far", F.explode(fars)).withColumn("size", F.explode(F.sequence(size - 1, size + 1)))
+    cut = cut.select(F.xxhash64("c", "far", "size").alias("c"), "x", "n", "d", "label")
     sizes = cut.groupBy("c").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).where("a <> b").select("c", "members")
     return cut.join(sizes, "c")
 
@@ -248,13 +296,13 @@ def cross_pairs(bands: DataFrame, percent: int) -> DataFrame:
 
         def pairs(c, x, n, d, label):
             for i in range(len(x)):
-                near = np.flatnonzero((label[:i] != label[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])) & (np.abs(d[:i] - d[i]) <= (100 - percent) / 100 + 1e-9))
+                near = np.flatnonzero((label[:i] != label[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])) & ~(np.abs(d[:i] - d[i]) > (100 - percent) / 100 + 1e-9))
                 if len(near):
                     lo, hi = np.minimum(x[near], x[i]), np.maximum(x[near], x[i])
                     yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["p", "x"])
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
             c = cols[0]
@@ -267,8 +315,7 @@ def cross_pairs(bands: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from pairs(*held)
 
-    d = (F.col("total") - F.col("inter")) / F.col("total")
-    return bands.select("c", "x", "n", d.alias("d"), "label").repartition("c").sortWithinPartitions("c").mapInArrow(run, "p long, x long").distinct()
+    return bands.select("c", "x", "n", "d", "label").repartition("c").sortWithinPartitions("c").mapInArrow(run, "p long, x long").distinct()
 
 
 def linked(found: DataFrame, percent: int) -> DataFrame:
@@ -287,20 +334,22 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_i
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs_of, ranks = profiles(rows, k)
-    reps = stored(docs_of.where("n > 0").groupBy("dg").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    regions = memberships(rows, spark.sparkContext.broadcast(ranks), k, percent)
-    members = stored(with_pivots(regions), "jaccard-members")
-    sets = wanted_sets(spark, rows, reps, members, k)
-    links, labels, small = None, None, None
+    reps = stored(docs_of.where("n > 0").groupBy("dg").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-reps")
+    members = stored(with_pivots(memberships(rows, spark.sparkContext.broadcast(ranks), k, percent)), "jaccard-members")
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        left = stored(possible(pairs.distinct(), reps, percent), "jaccard-pairs")
+        return stored(compared(left, wanted_sets(spark, rows, reps, left, k)), "jaccard-compared")
+
+    links, small = None, None
     for depth in range(DEPTH):
-        star = stored(compared(members.where("p <> x").select("p", "x").distinct(), sets), "jaccard-star")
-        new = linked(star, percent)
-        links = stored(new if links is None else links.unionByName(new), "jaccard-links")
+        near = members.where(f"p <> x AND 100 * least(n, pn) >= {percent} * greatest(n, pn)")
+        star = exact(near.select("p", "x"))
+        links = linked(star, percent) if links is None else links.unionByName(linked(star, percent))
         labels = components(links)
-        own = members.join(star, ["p", "x"], "left").join(labels.withColumnRenamed("node", "x"), "x", "left")
-        own = own.select("c", "x", "n", F.coalesce("inter", F.lit(0)).alias("inter"), F.when(F.col("p") == F.col("x"), F.lit(1)).otherwise(F.col("total")).alias("total"), (F.col("p") == F.col("x")).alias("is_pivot"), F.coalesce("label", "x").alias("label"))
-        own = own.withColumn("inter", F.when(F.col("is_pivot"), 1).otherwise(F.col("inter"))).drop("is_pivot")
-        bands = stored(banded(own, percent), "jaccard-bands")
+        distance = star.select("p", "x", ((F.col("total") - F.col("inter")) / F.col("total")).alias("d"))
+        own = members.where("p <> x").join(distance, ["p", "x"], "left").join(labels.withColumnRenamed("node", "x"), "x", "left")
+        bands = stored(banded(own.select("c", "x", "n", "d", F.coalesce("label", "x").alias("label")), percent), "jaccard-bands")
         last = depth == DEPTH - 1
         ready = bands if last else bands.where(F.col("members") <= SMALL)
         small = ready if small is None else small.unionByName(ready)
@@ -310,10 +359,10 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_i
         members = stored(with_pivots(large), "jaccard-members")
     # components found since then leave fewer pairs
     small = small.drop("label").join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    rest = linked(compared(cross_pairs(small, percent), sets), percent)
-    labels = components(links.unionByName(rest))
+    links = links.unionByName(linked(exact(cross_pairs(small, percent)), percent))
+    labels = components(links)
     least = labels.join(reps, labels["node"] == reps["dg"]).groupBy("label").agg(F.min("rep").alias("component_id"))
     named = reps.join(labels.join(least, "label").select(F.col("node").alias("dg"), "component_id"), "dg", "left").select("dg", F.coalesce("component_id", "rep").alias("component_id"))
-    out = docs_of.join(named, "dg", "left")
+    out = docs_of.drop("bits").join(named, "dg", "left")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select(real("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component_id"))
