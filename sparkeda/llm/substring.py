@@ -5,7 +5,7 @@ only the one with the smallest hash is an anchor (the first on ties), so two equ
 full windows always have equal anchors and about a quarter of all words carry one.
 Only anchors that two documents share are extended to twice the length, cut at the
 wanted length: level 2 hashes the full windows whose anchor survived, with two
-independent 64-bit hashes, and those seen in an earlier document cover the words
+independent hashes of 96 bits, and those seen in an earlier document cover the words
 to remove. No pair of documents is ever made: each level keeps the smallest doc_id of a hash.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,18 @@ def _pairs(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], h[new]
 
 
+def _among(h: np.ndarray, row: np.ndarray, wanted: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which (document, hash) are among the wanted hashes of that document."""
+    return np.isin(K.mix(h) ^ K.mix(row.astype(np.uint64), 1), K.mix(wanted) ^ K.mix(of.astype(np.uint64), 1))
+
+
+def _lists(column: pa.ListArray, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(values as hashes, document of each) of a column of lists; null is empty."""
+    held = column.slice(part.start, part.stop - part.start)
+    sizes = [x or 0 for x in pa.compute.list_value_length(held).to_pylist()]
+    return held.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(held)), sizes)
+
+
 def deduplicate(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """Remove every word covered by a window of `size` words that also starts in a document with a smaller doc_id.
 
@@ -99,19 +112,21 @@ def deduplicate(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text: s
             for part, data, offsets in K.text_blocks(batch.column(1)):
                 w = K.words(data, offsets, False)
                 first, least, row = _anchors(w, half, size)
-                held = wanted.slice(part.start, part.stop - part.start)
-                mine = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                of = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
-                keep = np.isin(K.mix(least) ^ K.mix(row.astype(np.uint64), 1), K.mix(mine) ^ K.mix(of.astype(np.uint64), 1))
+                mine, of = _lists(wanted, part)
+                keep = _among(least, row, mine, of)
                 first, row = first[keep], row[keep]
                 h, g = K.span_hashes(w.hash, first, first + size), K.span_hashes(K.mix(w.hash, 7), first, first + size, 7)
-                yield pa.RecordBatch.from_arrays([pa.array(K.as_long(h)), pa.array(K.as_long(g)), pa.array(keys[part][row]), pa.array((first - w.first[row]).astype(np.int32))], names=["h", "g", "doc_id", "at"])
+                order = np.lexsort((h, row))  # a window that a document repeats is one row
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+                h, g, row = h[order][new], g[order][new], row[order][new]
+                yield pa.RecordBatch.from_arrays([pa.array(K.as_long(h)), pa.array(g.astype(np.uint32).view(np.int32)), pa.array(keys[part][row])], names=["h", "g", "doc_id"])
 
     def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (h, g, doc_id): keep those after the smallest doc_id of their window."""
         last = (None, None, None)
         for batch in batches:
-            h, g, d, at = (batch.column(k).to_numpy() for k in range(4))
+            h, g, d = (batch.column(k).to_numpy() for k in range(3))
             if not len(h):
                 continue
             new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
@@ -120,23 +135,26 @@ def deduplicate(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text: s
             low = np.append(last[2] if last[2] is not None else 0, d[start])[np.cumsum(new)]
             keep = d > low
             last = (h[-1], g[-1], low[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(at[keep])], names=["doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(h[keep])], names=["doc_id", "h"])
 
-    full = texts.join(shared, "doc_id").select("doc_id", "text", "anchors").mapInArrow(level2, "h long, g long, doc_id long, at int")
-    later = full.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id").mapInArrow(later_rows, "doc_id long not null, at int")
-    later = later.groupBy("doc_id").agg(F.collect_set("at").alias("cut"))
+    full = texts.join(shared, "doc_id").select("doc_id", "text", "anchors").mapInArrow(level2, "h long, g int, doc_id long")
+    later = full.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id").mapInArrow(later_rows, "doc_id long not null, h long")
+    later = later.groupBy("doc_id").agg(F.collect_set("h").alias("cut"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, cut = batch.column(0), batch.column(2).to_pylist()
+            keys, cut = batch.column(0), batch.column(2)
             for part, data, offsets in K.text_blocks(batch.column(1)):
                 w = K.words(data, offsets, False)
                 gone = np.zeros(len(w.hash) + 1, np.int64)
-                for i, at in enumerate(cut[part]):
-                    if at:
-                        a = w.first[i] + np.asarray(at)
-                        np.add.at(gone, a, 1)
-                        np.add.at(gone, a + size, -1)
+                mine, of = _lists(cut, part)
+                if len(mine):
+                    at, h = K.windows(w, size)
+                    row = w.rows()[at]
+                    some = np.isin(row, of)
+                    at = at[some][_among(h[some], row[some], mine, of)]
+                    gone[at] += 1
+                    gone[at + size] -= 1
                 keep = np.cumsum(gone)[:-1] == 0
                 n = w.counts
                 kept = np.add.reduceat(np.append(keep, False), w.first[:-1], dtype=np.int64) * (n > 0)
