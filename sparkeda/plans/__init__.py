@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sparkeda.plans import catalog_queries, quality_queries  # noqa: F401
+from sparkeda.plans.registry import ORACLES, QUERIES  # noqa: F401
