@@ -18,6 +18,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from sparkeda.llm.shared import fresh
 MAGIC = b"DAC1"
 RANK_EVERY = 512
 #: Chunks of text (between blanks) whose ids a worker remembers at once; then it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 class Dac:
@@ -106,44 +108,113 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, Dac]:
 
 
 class Encoder:
-    """ids of whole texts. Blanks part the tokenizer's words, so the text between two blanks always has the same ids and is encoded once."""
+    """ids of whole texts by the tokenizers library.
+
+    Blanks and line ends part the tokenizer's words, so the chunk between two of them always has
+    the same ids and is encoded once. Chunks share their core: A-Z of an ASCII chunk is lower-cased (as
+    the tokenizer does), and a last full stop or comma after a letter is a token run of its own.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        probe = ("Abc Def", "ab\ncd", "ab.", "cd,", "Zürich.")
+        one = self._library(list(probe))
+        parts = self._library(["abc", "def", "ab", "cd", ".", ",", "Zürich"])
+        if one != [parts[0] + parts[1], parts[2] + parts[3], parts[2] + parts[4], parts[3] + parts[5], parts[6] + parts[4]]:
+            raise ValueError("this tokenizer does not part words at blanks or keeps case")
+        self.marks = {".": parts[4], ",": parts[5]}
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256, 257 .. in order
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(odd)}
         self.clear()
 
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint16)
-        self.start = np.zeros(1, np.int64)
+        self.flat, self.used, self.known = np.zeros(1 << 16, np.uint32), 0, 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _store(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, k, total = self.known, len(keys), len(ids)
+        while n + k > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.flat[self.used : self.used + total] = ids
+        self.size[n : n + k] = sizes
+        self.start[n : n + k] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.known = self.used + total, n + k
+        self.index.update(zip(keys, range(n, n + k), strict=True))
+
+    def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all entries one after another, end of each)."""
+        size = self.size[code]
+        to = np.cumsum(size)
+        return self.flat[np.arange(to[-1] if len(to) else 0) + np.repeat(self.start[code] - (to - size), size)], to
+
+    def _learn(self, new: list[str]) -> None:
+        """Store chunks that are not in the index: first their cores, then those with a mark; other spellings share a core's entry."""
+        index, marks = self.index, self.marks
+        same: list[tuple[str, str]] = []
+        ended: dict[str, list[tuple[str, str]]] = {m: [] for m in marks}
+        cores: dict[str, None] = {}
+        for w in new:
+            c = w.lower() if w.isascii() else w
+            m = c[-1:]
+            if m in marks and c[-2:-1].isalpha():
+                c = c[:-1]
+                ended[m].append((w, c))
+            elif c is not w and c != w:
+                same.append((w, c))
+            if c not in index:
+                cores[c] = None
+        # lower-case letters in normal form are one word to the model; its alphabet stands for bytes
+        easy = [c for c in cores if c.isalpha() and c == c.lower() and is_normalized("NFC", c) and "\u03c2" not in c]
+        done = {c: [t.id for t in self.model.tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(self.alphabet))] for c in easy}
+        hard = [c for c in cores if c not in done]
+        done.update(zip(hard, self._library(hard), strict=True))
+        sizes = np.fromiter(map(len, done.values()), np.int64, len(done))
+        self._store(list(done), np.fromiter(chain.from_iterable(done.values()), np.uint32, int(sizes.sum())), sizes)
+        for m, pairs in ended.items():
+            if pairs:
+                ids, to = self._gather(np.fromiter((index[c] for _, c in pairs), np.int64, len(pairs)))
+                sizes = np.diff(to, prepend=0) + len(marks[m])
+                self._store([w for w, _ in pairs], np.insert(ids, np.repeat(to, len(marks[m])), np.tile(np.array(marks[m], np.uint32), len(pairs))), sizes)
+        for w, c in same:
+            index[w] = index[c]
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, first id of each and the end)."""
         if len(self.index) > MEMO:
             self.clear()
-        index, pieces = self.index, [t.split(" ") for t in texts]
-        new = [w for w in dict.fromkeys(w for p in pieces for w in p) if w not in index]
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-            self.flat = np.concatenate([self.flat, flat])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        code = np.fromiter((index[w] for p in pieces for w in p), np.int64, sum(map(len, pieces)))
-        size = self.start[code + 1] - self.start[code]
-        to = np.cumsum(size)
-        ids = self.flat[np.arange(to[-1] if len(to) else 0) - np.repeat(to - size - self.start[code], size)]
-        ends = np.cumsum([len(p) for p in pieces])
-        stop = to[ends - 1]
-        return np.insert(ids, stop, end).astype(np.uint32), np.concatenate([[0], stop + np.arange(1, len(texts) + 1)])
+        chunks = "\n".join(texts).replace("\n", " ").split(" ")
+        code = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unseen = np.flatnonzero(code < 0)
+        if len(unseen):
+            missing = [chunks[i] for i in unseen.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            code[unseen] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(missing))
+        ids, to = self._gather(code)
+        last = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in texts]) - 1
+        stop = to[last]
+        return np.insert(ids, stop, end), np.concatenate([[0], stop + np.arange(1, len(texts) + 1)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder_for(vocabulary: str) -> Encoder:
+    """The worker's encoder; a worker keeps it, and what it remembers, from task to task."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
@@ -179,8 +250,7 @@ def encode_to_files(docs: DataFrame, folder: str, vocabulary: str, end: int = 1,
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _ENCODERS.setdefault(vocabulary, None) or Encoder(vocabulary)
-        _ENCODERS[vocabulary] = encoder
+        encoder = encoder_for(vocabulary)
         at, no = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
