@@ -166,7 +166,7 @@ class Encoder:
         for w in new:
             c = w.lower() if w.isascii() else w
             m = c[-1:]
-            if m in marks and c[-2:-1].isalpha():
+            if m in marks and c[-2:-1].lower().isalpha():
                 c = c[:-1]
                 ended[m].append((w, c))
             elif c is not w and c != w:
