@@ -345,7 +345,7 @@ def change_points(series: DataFrame, period: int, depth: int = 5) -> DataFrame:
 
         split(0, n, depth)
         found.sort()
-        return pd.DataFrame({"ts": pdf["ts"].iloc[[f[0] for f in found]].to_list(), "statistic": [round(f[1], 4) for f in found], "effect": [round(f[2], 4) for f in found]}, columns=["ts", "statistic", "effect"])
+        return pd.DataFrame({"ts": pdf["ts"].iloc[[f[0] for f in found]].reset_index(drop=True), "statistic": [round(f[1], 4) for f in found], "effect": [round(f[2], 4) for f in found]}, columns=["ts", "statistic", "effect"])
 
     return series.groupBy(F.lit("all")).applyInPandas(lambda pdf: run(pdf), "ts timestamp_ntz, statistic double, effect double")
 
