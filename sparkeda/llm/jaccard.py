@@ -10,10 +10,11 @@ replicated to each region where a partner within the threshold can share its nea
 pivot: its n - ceil(0.75 n) + 1 rarest shingles. Inside a region the pivots are documents:
 
 1. every member is compared with the pivot; links join components, never all pairs;
-2. a region with several components left is cut into bands of distance to its pivot, as
+2. a large region with several components left is cut into bands of distance to its pivot, as
    wide as the threshold, and of size; a member also goes to the next band, as two documents
-   within the threshold are in one band or two neighbouring ones;
-3. large bands take a pivot of their own, small ones compare what is in different components.
+   within the threshold are in one band or two neighbouring ones, and each band takes a pivot of
+   its own, from what is not in its commonest component;
+3. small regions and bands compare what is in different components.
 
 Sets are compared by 64-bit shingle hashes.
 """
@@ -38,8 +39,8 @@ SKETCH_BITS = 20
 #: Bits of the filter that keeps sets of documents without a partner out of the shuffle; it has no false negatives.
 FILTER_BITS = 26
 PIECES = 16
-#: Members up to which a band compares all its pairs in different components.
-SMALL = 64
+#: Members up to which a region or band compares all its pairs in different components.
+SMALL = 256
 DEPTH = 3
 
 
@@ -166,8 +167,12 @@ def memberships(rows: DataFrame, ranks, k: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "c long, x long, n int")
 
 
-def with_pivots(regions: DataFrame) -> DataFrame:
-    """(c, p, pn, x, n): members of each region of two or more sets with its pivot, the first x. Streams through regions of any size."""
+def with_pivots(regions: DataFrame, percent: int) -> DataFrame:
+    """(c, p, pn, x, n, more): members of each region of two or more sets with its pivot, the first by (o, x).
+
+    Streams through regions of any size. more: the region may have a third set, so that others than
+    the pivot are to be compared. Two sets whose sizes rule a link out are no region.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_c = last_x = pivot = size_p = None
@@ -190,21 +195,24 @@ def with_pivots(regions: DataFrame) -> DataFrame:
             p = np.append(pivot if pivot is not None else 0, x[head])[run_no]
             pn = np.append(size_p if size_p is not None else 0, n[head])[run_no]
             size = np.bincount(run_no, minlength=len(head) + 1)
-            keep = ~new | (size[run_no] > 1)
-            out = [c[keep], p[keep], pn[keep], x[keep], n[keep]]
+            inside = (run_no > 0) & (run_no < len(head))  # begun and ended in this batch
+            more = ~(inside & (size[run_no] == 2))
+            keep = (~new | (size[run_no] > 1)) & (more | new | (100 * np.minimum(n, pn) >= percent * np.maximum(n, pn)))
+            out = [c[keep], p[keep], pn[keep], x[keep], n[keep], more[keep]]
             if pending is not None and not new[0]:
                 out = [np.append(a, b) for a, b in zip(out, pending, strict=True)]
                 pending = None
             elif new[0]:
                 pending = None
             if len(head) and size[-1] == 1:
-                pending = (c[-1], x[-1], n[-1], x[-1], n[-1])
+                pending = (c[-1], x[-1], n[-1], x[-1], n[-1], True)
             elif len(head):
                 pending = None
             last_c, last_x, pivot, size_p = c[-1], x[-1], p[-1], pn[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3]), pa.array(out[4].astype(np.int32))], names=["c", "p", "pn", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3]), pa.array(out[4].astype(np.int32)), pa.array(out[5])], names=["c", "p", "pn", "x", "n", "more"])
 
-    return regions.select("c", "x", "n").repartition("c").sortWithinPartitions("c", "x").mapInArrow(run, "c long, p long, pn int, x long, n int")
+    ordered = regions if "o" in regions.columns else regions.withColumn("o", F.lit(0))
+    return ordered.select("c", "x", "n", "o").repartition("c").sortWithinPartitions("c", "o", "x").mapInArrow(run, "c long, p long, pn int, x long, n int, more boolean")
 
 
 def wanted_sets(spark: SparkSession, rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -269,37 +277,81 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "p long, x long, inter int, total int")
 
 
+def size_bands(percent: int, most: int = 2**40) -> list[int]:
+    """Ascending sizes so that two sets within the threshold lie in one band or two neighbouring ones."""
+    edges = [1]
+    while edges[-1] < most:
+        edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
+    return edges
+
+
 def banded(rows: DataFrame, percent: int) -> DataFrame:
-    """Cut regions (c, x, n, d, label) without their pivots into bands of pivot distance and size.
+    """Cut regions (c, x, n, d, label) with several labels into bands of pivot distance and size.
 
-    d is null where only d > threshold is known: such a member goes to all bands it can be in.
+    d is null where only d > threshold is known: such a member goes to all bands it can be in. In the
+    result o is 0 for members whose label is not the commonest one, so that a pivot comes from them.
     """
     several = rows.groupBy("c").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("c")
     left = rows.join(several, "c", "left_semi")
     step = (100 - percent) / 100
-    last = math.ceil(1 / step)
     far = F.floor(F.col("d") / step + 1e-9).cast("int")
-    fars = F.when(F.col("d").isNull(), F.sequence(F.lit(1), F.lit(last))).otherwise(F.sequence(far, far + 1))
-    size = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    # a size next to a border may round to either side: one more band below
-    cut = left.withColumn("far", F.explode(fars)).withColumn("size", F.explode(F.sequence(size - 1, size + 1)))
-    cut = cut.select(F.xxhash64("c", "far", "size").alias("c"), "x", "n", "d", "label")
-    sizes = cut.groupBy("c").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).where("a <> b").select("c", "members")
-    return cut.join(sizes, "c")
+    fars = F.when(F.col("d").isNull(), F.sequence(F.lit(1), F.lit(math.ceil(1 / step)))).otherwise(F.sequence(far, far + 1))
+    edges = F.array(*[F.lit(e) for e in size_bands(percent)])
+    size = F.size(F.filter(edges, lambda e: e <= F.col("n")))
+    cut = left.withColumn("far", F.explode(fars)).withColumn("size", F.explode(F.sequence(size, size + 1)))
+    cut = cut.select(F.xxhash64("c", "far", "size").alias("c"), "x", "n", "label")
+    labels = cut.groupBy("c", "label").agg(F.count("*").alias("m"))
+    common = labels.groupBy("c").agg(F.max_by("label", F.struct("m", "label")).alias("common"), F.count("*").alias("k")).where("k > 1").select("c", "common")
+    return cut.join(common, "c").select("c", "x", "n", (F.col("label") == F.col("common")).cast("int").alias("o"))
 
 
-def cross_pairs(bands: DataFrame, percent: int) -> DataFrame:
-    """(p, x): members of one band in different components whose sizes and pivot distances allow a link."""
+PAIR, MEMBER = 0, 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
 
-        def pairs(c, x, n, d, label):
-            for i in range(len(x)):
-                near = np.flatnonzero((label[:i] != label[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])) & ~(np.abs(d[:i] - d[i]) > (100 - percent) / 100 + 1e-9))
-                if len(near):
-                    lo, hi = np.minimum(x[near], x[i]), np.maximum(x[near], x[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["p", "x"])
+def resolved(rows: DataFrame, percent: int, last: bool) -> DataFrame:
+    """What is left to do in regions (c, x, n, d, label), without their pivots: kind PAIR (p, x) or MEMBER (c, x, n, d, label).
+
+    A region of one label is done. One of up to SMALL members gives its pairs in different components
+    whose sizes and pivot distances allow a link; a larger one its members (with `last`, its pairs too, by blocks).
+    """
+
+    def masks(n, d, label, i: slice, j: slice) -> np.ndarray:
+        a, b = n[i, None], n[None, j]
+        ok = (label[i, None] != label[None, j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        return ok & ~(np.abs(d[i, None] - d[None, j]) > (100 - percent) / 100 + 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large, pairs = None, None, []
+        names = ["kind", "c", "x", "n", "d", "label", "p"]
+
+        def members(cols, keep) -> pa.RecordBatch:
+            c, x, n, d, label = (v[keep] for v in cols)
+            m = len(c)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, MEMBER, np.int8)), pa.array(c), pa.array(x), pa.array(n, pa.int32()), pa.array(d, mask=np.isnan(d)), pa.array(label), pa.nulls(m, pa.int64())], names=names)
+
+        def flush() -> pa.RecordBatch:
+            two = np.unique(np.concatenate(pairs), axis=0)
+            pairs.clear()
+            m = len(two)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, PAIR, np.int8)), pa.nulls(m, pa.int64()), pa.array(two[:, 1].copy()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.array(two[:, 0].copy())], names=names)
+
+        def runs(cols, bounds) -> Iterator[pa.RecordBatch]:
+            """Pairs of whole regions."""
+            _, x, n, d, label = cols
+            n = n.astype(np.int64)
+            lo, hi = np.minimum.reduceat(label, bounds[:-1]), np.maximum.reduceat(label, bounds[:-1])
+            for k in np.flatnonzero(lo != hi).tolist():
+                a, b = bounds[k], bounds[k + 1]
+                for i in range(a, b, 1024):
+                    rows_i = slice(i, min(i + 1024, b))
+                    for j in range(i, b, 1024):
+                        rows_j = slice(j, min(j + 1024, b))
+                        one, two = np.nonzero(masks(n, d, label, rows_i, rows_j))
+                        one, two = x[one + i], x[two + j]
+                        if len(one):
+                            pairs.append(np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0))
+                if sum(map(len, pairs)) > 500_000:
+                    yield flush()
 
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -308,14 +360,26 @@ def cross_pairs(bands: DataFrame, percent: int) -> DataFrame:
             c = cols[0]
             if not len(c):
                 continue
-            start = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
-            for a, b in zip(start[:-2], start[1:-1], strict=True):
-                yield from pairs(*[v[a:b] for v in cols])
-            held = [v[start[-2] :] for v in cols]
+            bounds = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
+            size = np.diff(bounds)
+            big = np.zeros(len(size), bool) if last else size > SMALL
+            if large is not None and c[0] == large:
+                big[0] = True
+            out = np.repeat(big, size)
+            if out.any():
+                yield members(cols, out)
+            large = c[-1] if big[-1] else None
+            held = None if big[-1] else [v[bounds[-2] :] for v in cols]
+            whole_runs = np.flatnonzero(~big[:-1])
+            if len(whole_runs):
+                keep = np.append(~out[: bounds[-2]], np.zeros(len(c) - bounds[-2], bool))
+                yield from runs([v[keep] for v in cols], np.append(0, np.cumsum(size[:-1][~big[:-1]])))
         if held is not None:
-            yield from pairs(*held)
+            yield from runs(held, np.array([0, len(held[0])]))
+        if pairs:
+            yield flush()
 
-    return bands.select("c", "x", "n", "d", "label").repartition("c").sortWithinPartitions("c").mapInArrow(run, "p long, x long").distinct()
+    return rows.select("c", "x", "n", "d", "label").repartition("c").sortWithinPartitions("c").mapInArrow(run, "kind byte, c long, x long, n int, d double, label long, p long")
 
 
 def linked(found: DataFrame, percent: int) -> DataFrame:
@@ -335,31 +399,32 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_i
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs_of, ranks = profiles(rows, k)
     reps = stored(docs_of.where("n > 0").groupBy("dg").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-reps")
-    members = stored(with_pivots(memberships(rows, spark.sparkContext.broadcast(ranks), k, percent)), "jaccard-members")
+    members = stored(with_pivots(memberships(rows, spark.sparkContext.broadcast(ranks), k, percent), percent), "jaccard-members")
 
     def exact(pairs: DataFrame) -> DataFrame:
         left = stored(possible(pairs.distinct(), reps, percent), "jaccard-pairs")
         return stored(compared(left, wanted_sets(spark, rows, reps, left, k)), "jaccard-compared")
 
-    links, small = None, None
+    links, pairs = None, None
     for depth in range(DEPTH):
         near = members.where(f"p <> x AND 100 * least(n, pn) >= {percent} * greatest(n, pn)")
         star = exact(near.select("p", "x"))
         links = linked(star, percent) if links is None else links.unionByName(linked(star, percent))
         labels = components(links)
         distance = star.select("p", "x", ((F.col("total") - F.col("inter")) / F.col("total")).alias("d"))
-        own = members.where("p <> x").join(distance, ["p", "x"], "left").join(labels.withColumnRenamed("node", "x"), "x", "left")
-        bands = stored(banded(own.select("c", "x", "n", "d", F.coalesce("label", "x").alias("label")), percent), "jaccard-bands")
-        last = depth == DEPTH - 1
-        ready = bands if last else bands.where(F.col("members") <= SMALL)
-        small = ready if small is None else small.unionByName(ready)
-        large = bands.where(F.col("members") > SMALL)
-        if last or large.isEmpty():
+        own = members.where("p <> x AND more").join(distance, ["p", "x"], "left").join(labels.withColumnRenamed("node", "x"), "x", "left")
+        left = stored(resolved(own.select("c", "x", "n", "d", F.coalesce("label", "x").alias("label")), percent, depth == DEPTH - 1), "jaccard-left")
+        found = left.where(F.col("kind") == PAIR).select("p", "x")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        large = left.where(F.col("kind") == MEMBER).drop("kind", "p")
+        if large.isEmpty():
             break
-        members = stored(with_pivots(large), "jaccard-members")
+        members = stored(with_pivots(banded(large, percent), percent), "jaccard-members")
     # components found since then leave fewer pairs
-    small = small.drop("label").join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    links = links.unionByName(linked(exact(cross_pairs(small, percent)), percent))
+    for side in ("p", "x"):
+        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    pairs = pairs.where(~F.coalesce("label_p", "p").eqNullSafe(F.coalesce("label_x", "x"))).select("p", "x")
+    links = links.unionByName(linked(exact(pairs), percent))
     labels = components(links)
     least = labels.join(reps, labels["node"] == reps["dg"]).groupBy("label").agg(F.min("rep").alias("component_id"))
     named = reps.join(labels.join(least, "label").select(F.col("node").alias("dg"), "component_id"), "dg", "left").select("dg", F.coalesce("component_id", "rep").alias("component_id"))
