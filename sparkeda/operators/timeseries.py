@@ -326,8 +326,9 @@ def change_points(series: DataFrame, period: int, depth: int = 5) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts").reset_index(drop=True)
         x, n = pdf["x"].to_numpy(float), len(pdf)
-        apart = max(1, n // 2)
-        slope = np.median((x[apart:] - x[:-apart]) / apart) if n > apart else 0.0
+        at = np.unique(np.linspace(0, n - 1, min(n, 300)).astype(int))
+        i, j = np.triu_indices(len(at), 1)
+        slope = np.median((x[at[j]] - x[at[i]]) / (at[j] - at[i])) if n > 1 else 0.0
         x, least, found = x - slope * np.arange(n), max(2 * period, 10), []
 
         def split(a: int, b: int, left: int) -> None:
@@ -344,7 +345,10 @@ def change_points(series: DataFrame, period: int, depth: int = 5) -> DataFrame:
                 split(a + int(i[k]), b, left - 1)
 
         split(0, n, depth)
-        found.sort()
+        # a shift shows on either side of itself as well: by the noise of one step, over four periods
+        y, w = pdf["x"].to_numpy(float), 4 * period
+        noise = 1.4826 * np.median(np.abs(np.diff(y))) / 2**0.5 if n > 1 else 0.0
+        found = sorted(f for f in found if abs(y[f[0] : f[0] + w].mean() - y[max(0, f[0] - w) : f[0]].mean()) >= noise)
         return pd.DataFrame({"ts": pdf["ts"].iloc[[f[0] for f in found]].reset_index(drop=True), "statistic": [round(f[1], 4) for f in found], "effect": [round(f[2], 4) for f in found]}, columns=["ts", "statistic", "effect"])
 
     return series.groupBy(F.lit("all")).applyInPandas(lambda pdf: run(pdf), "ts timestamp_ntz, statistic double, effect double")
