@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import edge_bin, finite
+from sparkeda.functions.ordered import backward_steps, running
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -59,10 +60,9 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """value -> rank, ties sharing their average; a window over distinct values with their counts, not over rows."""
+    """value -> rank, ties sharing their average; over distinct values with their counts, not over rows."""
     c = df.select(finite(column).alias(column)).where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    cum = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    return c.select(column, (cum - F.col("n") + (F.col("n") + 1) / 2).alias(name))
+    return running(c, column, "n").select(column, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,14 +108,11 @@ def rule_accuracy(df: DataFrame, feature: str, target: str) -> DataFrame:
 
 
 def time_coverage(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Span, median positive gap, gaps above three medians, and whether rows come in time order by `order`.
-
-    The window runs over distinct timestamps; order is checked on rows bucketed by the order column's range.
-    """
+    """Span, median positive gap, gaps above three medians, and the steps back in time when rows come by `order` (an integer key)."""
     t = df.where(F.col(column).isNotNull()).select(F.unix_micros(F.col(column).cast("timestamp")).alias("t"), F.col(order).alias("o"))
-    gaps = t.select("t").distinct().select("t", (F.lead("t").over(Window.orderBy("t")) - F.col("t")).alias("gap"))
+    gaps = running(t.select("t").distinct(), "t").select("t", (F.col("next") - F.col("t")).alias("gap"))
     typical = gaps.agg(F.percentile("gap", 0.5).alias("typical"))
     wide = gaps.join(F.broadcast(typical)).agg(F.count_if(F.col("gap") > 3 * F.col("typical")).alias("n_wide_gaps"), F.max("gap").alias("max_gap"), F.first("typical").alias("typical"), F.count(F.lit(1)).alias("n_distinct"))
     rows = t.agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    back = t.select((F.col("t") < F.lag("t").over(Window.orderBy("o", "t"))).alias("back")).agg(F.count_if("back").alias("n_backward"))
+    back = backward_steps(t, "o", "t")
     return rows.join(F.broadcast(wide)).join(F.broadcast(back)).select("n", "n_distinct", F.round((F.col("hi") - F.col("lo")) / 86400e6, 6).alias("span_days"), F.round(F.col("typical") / 1e6, 3).alias("median_gap_s"), F.round(F.col("max_gap") / 1e6, 3).alias("max_gap_s"), "n_wide_gaps", "n_backward")

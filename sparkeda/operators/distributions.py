@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import equal_bin, finite
+from sparkeda.functions.ordered import quantiles, running
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -39,10 +40,9 @@ def modality_gap(df: DataFrame, column: str) -> DataFrame:
     c = value_counts(df, column)
     facts = df.select(finite(column).alias("x")).agg(F.count("x").alias("total"), F.skewness("x").alias("g"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     logs = (F.col("lo") > 0) & ((F.abs("g") >= 1) | (F.col("hi") >= 50 * F.col("lo")))
-    both = c.join(F.broadcast(facts)).withColumn("used_log", logs).withColumn("y", F.when(F.col("used_log"), F.log10("x")).otherwise(F.col("x")))
-    # one row per distinct value passes the window
-    w = Window.orderBy("x")
-    gaps = both.select("*", (F.lead("y").over(w) - F.col("y")).alias("gap"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n_below"), F.lead("x").over(w).alias("next"))
+    both = running(c, "x", "n").join(F.broadcast(facts)).withColumn("used_log", logs).withColumn("y", F.when(F.col("used_log"), F.log10("x")).otherwise(F.col("x")))
+    after = F.when(F.col("used_log"), F.log10("next")).otherwise(F.col("next"))
+    gaps = both.select("*", (after - F.col("y")).alias("gap"), F.col("cum").alias("n_below"))
     best = gaps.agg(F.max_by(F.struct("x", "next", "n_below", "gap"), F.struct("gap", -F.col("x"))).alias("b"), F.percentile(F.when(F.col("gap") > 0, F.col("gap")), 0.5).alias("typical"), (F.max("y") - F.min("y")).alias("range"), F.max("total").alias("n"), F.max("used_log").alias("used_log"))
     above = F.col("n") - F.col("b.n_below")
     least = F.least(F.col("b.n_below"), above)
@@ -60,7 +60,7 @@ def histogram(df: DataFrame, column: str, bins: int = 24) -> DataFrame:
 def box(df: DataFrame, column: str) -> DataFrame:
     """Exact quartiles, Tukey fences and the rows outside them."""
     x = df.select(finite(column).alias("x"))
-    q = x.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*[F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))])
+    q = quantiles(x, "x", [0.25, 0.5, 0.75]).select(*[F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))])
     q = q.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     n = x.join(F.broadcast(q)).groupBy("q1", "median", "q3", "low", "high").agg(F.count("x").alias("n"), F.count_if((F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))).alias("n_outside"))
     return n.select(*[F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "low", "high")], "n", "n_outside")
@@ -125,8 +125,7 @@ def ks_distance(df: DataFrame, column: str, law: str) -> DataFrame:
         "norm": normal_cdf((F.col("x") - F.col("mean")) / F.col("sd")), "lognorm": normal_cdf((F.log("x") - F.col("mean")) / F.col("sd")),
         "uniform": (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), "expon": 1 - F.exp(-F.col("x") / F.col("mean")),
     }[law]
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    steps = c.join(F.broadcast(fit)).select("*", F.sum("n").over(w).alias("cum"), cdf.alias("p"))
+    steps = running(c, "x", "n").join(F.broadcast(fit)).select("*", cdf.alias("p"))
     d = F.greatest(F.abs(F.col("cum") / F.col("total") - F.col("p")), F.abs(F.col("p") - (F.col("cum") - F.col("n")) / F.col("total")))
     out = steps.agg(F.max(d).alias("ks"), *[F.first(k).alias(k) for k in ("total", "mean", "sd", "lo", "hi", "logs")])
     half = F.log(2 * math.pi * F.col("sd") * F.col("sd")) + 1

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import adjusted_kurtosis, adjusted_skew, edge_bin, equal_bin, finite, hash_order
+from sparkeda.functions.ordered import quantiles, running
 from sparkeda.operators.associations import contingency
 
 
@@ -68,7 +69,7 @@ def by_time_quarter(df: DataFrame, time: str, key: str) -> DataFrame:
     if q == 0:
         return t.limit(0).withColumn("part", F.lit("early")).drop("_t")
     # counts by time value, cumulated: the cut lies inside one value, whose rows alone are numbered
-    c = t.groupBy("_t").agg(F.count(F.lit(1)).alias("m")).withColumn("cum", F.sum("m").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)))
+    c = running(t.groupBy("_t").agg(F.count(F.lit(1)).alias("m")), "_t", "m")
     first = c.where(F.col("cum") >= q).agg(F.min(F.struct("cum", "_t", "m")).alias("s")).first()["s"]
     last = c.where(F.col("cum") > n - q).agg(F.min(F.struct("cum", "_t", "m")).alias("s")).first()["s"]
     edge = t.where(F.col("_t").isin(first["_t"], last["_t"])).withColumn("_r", F.row_number().over(Window.partitionBy("_t").orderBy(key)))
@@ -137,7 +138,8 @@ def neighbour_disagreement(df: DataFrame, key: str, vector: str, label: str, k:
 def target_quantiles(df: DataFrame, target: str) -> DataFrame:
     x = df.select(finite(target).alias("x"))
     n = F.count("x")
-    out = x.agg(n.alias("n"), F.percentile("x", F.array(*[F.lit(p) for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)])).alias("q"), adjusted_skew("x", n).alias("skew"), adjusted_kurtosis("x", n).alias("kurtosis"), F.count_if(F.col("x") == 0).alias("zero"), F.count_if(F.col("x") < 0).alias("negative"), (F.stddev_samp("x") / F.abs(F.avg("x"))).alias("cv"), F.count_distinct("x").alias("d"))
+    out = x.agg(n.alias("n"), adjusted_skew("x", n).alias("skew"), adjusted_kurtosis("x", n).alias("kurtosis"), F.count_if(F.col("x") == 0).alias("zero"), F.count_if(F.col("x") < 0).alias("negative"), (F.stddev_samp("x") / F.abs(F.avg("x"))).alias("cv"), F.count_distinct("x").alias("d"))
+    out = out.join(F.broadcast(quantiles(x, "x", [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]).select("q")))
     tail = (F.col("q")[6] - F.col("q")[3]) / (F.col("q")[3] - F.col("q")[0])
     return out.select("n", *[F.round(F.col("q")[i], 4).alias(p) for i, p in enumerate(("q01", "q05", "q25", "q50", "q75", "q95", "q99"))], F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"), "zero", "negative", F.round("cv", 6).alias("cv"), ((F.col("d") <= 20) | (F.col("d") < 0.05 * F.col("n"))).alias("discrete"), F.round(tail, 6).alias("tail_ratio"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import finite
+from sparkeda.functions.ordered import running
 
 DAY = 86400.0
 # Calendar bands of gaps in days (low, high, name, periods a cycle) and exact gaps in seconds.
@@ -29,7 +30,7 @@ def observed(df: DataFrame, timestamp: str, value: str, *keep: str) -> DataFrame
 def infer_frequency(df: DataFrame, timestamp: str) -> DataFrame:
     """name, step_s, period, regularity, n_gaps: a calendar band with 60 % of the gaps, else the most frequent gap (smallest on ties)."""
     t = df.where(F.col(timestamp).isNotNull()).select((F.unix_micros(F.col(timestamp).cast("timestamp")) / 1e6).alias("t")).distinct()
-    gaps = t.select((F.lead("t").over(Window.orderBy("t")) - F.col("t")).alias("gap")).where("gap IS NOT NULL").groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
+    gaps = running(t, "t").select((F.col("next") - F.col("t")).alias("gap")).where("gap IS NOT NULL").groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
     bands = [F.sum(F.when(F.col("gap").between(lo * DAY, hi * DAY), F.col("n")).otherwise(0)).alias(name) for lo, hi, name, _ in CALENDAR]
     got = gaps.agg(F.sum("n").alias("n"), F.max_by("gap", F.struct("n", -F.col("gap"))).alias("mode"), F.max("n").alias("mode_n"), *bands)
     name, period, share = F.lit("custom"), F.lit(1), F.col("mode_n") / F.col("n")
@@ -86,7 +87,7 @@ def interpolate(grid: DataFrame) -> DataFrame:
 
 def irregularity(df: DataFrame, timestamp: str) -> DataFrame:
     t = df.where(F.col(timestamp).isNotNull()).select((F.unix_micros(F.col(timestamp).cast("timestamp")) / 1e6).alias("t")).distinct()
-    gaps = t.select((F.lead("t").over(Window.orderBy("t")) - F.col("t")).alias("gap")).where("gap IS NOT NULL")
+    gaps = running(t, "t").select((F.col("next") - F.col("t")).alias("gap")).where("gap IS NOT NULL")
     mode = gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("share"))
     return gaps.agg(F.min("gap").alias("min"), F.percentile("gap", 0.5).alias("median"), F.max("gap").alias("max")).join(F.broadcast(mode)).select(*[F.round(c, 3).alias(f"{c}_gap_s") for c in ("min", "median", "max")], F.round("share", 6).alias("modal_share"), (F.col("share") < 0.9).alias("irregular"))
 
