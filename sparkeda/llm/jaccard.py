@@ -39,8 +39,8 @@ SKETCH_BITS = 20
 #: Bits of the filter that keeps sets of documents without a partner out of the shuffle; it has no false negatives.
 FILTER_BITS = 26
 PIECES = 16
-#: Members up to which a region or band compares all its pairs in different components.
-SMALL = 256
+#: Sets up to which a region compares all that can link, and members up to which it compares those in different components.
+TINY, SMALL = 8, 4096
 DEPTH = 3
 
 
@@ -50,10 +50,13 @@ def sets_of(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     at, h = K.windows(w, k)
     rows = w.rows()[at]
     short = np.flatnonzero((counts > 0) & (counts < k))
-    h = np.concatenate([h, K.span_hashes(w.hash, w.first[short], w.first[short + 1])])
-    rows = np.concatenate([rows, short])
-    order = np.lexsort((h, rows))
-    h, rows = h[order], rows[order]
+    if len(short):
+        order = np.argsort(np.concatenate([rows, short]), kind="stable")
+        h = np.concatenate([h, K.span_hashes(w.hash, w.first[short], w.first[short + 1])])[order]
+        rows = np.concatenate([rows, short])[order]
+    bounds = np.searchsorted(rows, np.arange(n_docs + 1)).tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
     return h[new], np.searchsorted(rows[new], np.arange(n_docs + 1))
@@ -145,7 +148,7 @@ def profiles(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def memberships(rows: DataFrame, ranks, k: int, percent: int) -> DataFrame:
-    """(c, x, n): set x belongs to the region of shingle c; regions of one set are still there."""
+    """(c, x, n, i): set x of n shingles has shingle c at place i of its order; regions of one set are still there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks.value
@@ -157,62 +160,110 @@ def memberships(rows: DataFrame, ranks, k: int, percent: int) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             mine = use[row]
             h, row = values[mine], row[mine]
-            order = np.lexsort((h, rank[(h & np.uint64(len(rank) - 1)).astype(np.int64)], row))
-            h, row = h[order], row[order]
             start = np.concatenate([[0], np.cumsum(np.where(use, n, 0))])
-            keep = np.arange(len(h)) - start[row] < (n - (percent * n + 99) // 100 + 1)[row]
-            h, row = h[keep], row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(K.as_long(h)), pa.array(dg[row]), pa.array(n[row], pa.int32())], names=["c", "x", "n"])
+            # by rank, then by hash: a stable sort of sorted hashes
+            key = (rank[(h & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
+            bounds = start.tolist()
+            order = np.concatenate([np.argsort(key[a:b], kind="stable") + a for a, b in zip(bounds[:-1], bounds[1:], strict=True)] or [np.zeros(0, np.int64)])
+            h = h[order]
+            place = np.arange(len(h)) - start[row]
+            keep = place < (n - (percent * n + 99) // 100 + 1)[row]
+            h, row, place = h[keep], row[keep], place[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(K.as_long(h)), pa.array(dg[row]), pa.array(n[row], pa.int32()), pa.array(place, pa.int32())], names=["c", "x", "n", "i"])
 
-    return rows.mapInArrow(run, "c long, x long, n int")
+    return rows.mapInArrow(run, "c long, x long, n int, i int")
+
+
+PAIR, MEMBER = 0, 1
+
+
+def reach(n, i, m, j, percent: int):
+    """Whether sets of n and m shingles can link if the shingle at places i and j is the first they share.
+
+    What they share is then among the rest of both, and a link needs percent / (100 + percent) of n + m.
+    A pair that links does so at its first common shingle, so it is enough to test pairs in regions that pass.
+    """
+    return ((100 + percent) * np.minimum(n - i, m - j) >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, the smaller one first."""
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
 
 
 def with_pivots(regions: DataFrame, percent: int) -> DataFrame:
-    """(c, p, pn, x, n, more): members of each region of two or more sets with its pivot, the first by (o, x).
+    """Regions (c, x, n, i) of two or more sets: kind PAIR (p, x) of those up to TINY sets, else MEMBER (c, p, pn, pi, x, n, i).
 
-    Streams through regions of any size. more: the region may have a third set, so that others than
-    the pivot are to be compared. Two sets whose sizes rule a link out are no region.
+    The pivot p is the first set by (o, x); it has no row of its own. Streams through regions of any size.
     """
+    names = ["kind", "c", "p", "pn", "pi", "x", "n", "i"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_c = last_x = pivot = size_p = None
-        pending = None  # a pivot whose own row is still to come
+        held = open_run = last = None  # rows of an unfinished tiny run; (c, p, pn, pi) of an unfinished larger one; its last x
+
+        def members(cols, p) -> pa.RecordBatch:
+            c, x, n, i = cols
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), MEMBER, np.int8)), pa.array(c), pa.array(p[0]), pa.array(p[1]), pa.array(p[2]), pa.array(x), pa.array(n), pa.array(i)], names=names)
+
+        def tiny(cols, start, size) -> Iterator[pa.RecordBatch]:
+            _, x, n, i = cols
+            n, i, found = n.astype(np.int64), i.astype(np.int64), []
+            for m in range(2, TINY + 1):
+                first = start[size == m]
+                if len(first):
+                    for a in range(m):
+                        for b in range(a + 1, m):
+                            u, v = first + a, first + b
+                            ok = reach(n[u], i[u], n[v], i[v], percent)
+                            if ok.any():
+                                found.append(_pairs(x[u[ok]], x[v[ok]]))
+            if found:
+                two = np.unique(np.concatenate(found), axis=0)
+                m = len(two)
+                none, nil = pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, PAIR, np.int8)), nil, pa.array(two[:, 0].copy()), none, none, pa.array(two[:, 1].copy()), none, none], names=names)
+
         for batch in batches:
-            c, x, n = (batch.column(i).to_numpy() for i in range(3))
+            cols = [batch.column(k).to_numpy() for k in range(4)]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
+            c, x = cols[:2]
             if not len(c):
                 continue
             fresh = np.ones(len(c), bool)
             fresh[1:] = (c[1:] != c[:-1]) | (x[1:] != x[:-1])
-            fresh[0] = (last_c, last_x) != (c[0], x[0])
-            c, x, n = c[fresh], x[fresh], n[fresh]
+            fresh[0] = open_run is None or (open_run[0], last) != (c[0], x[0])
+            cols = [v[fresh] for v in cols]
+            c, x, n, i = cols
             if not len(c):
                 continue
-            new = np.ones(len(c), bool)
-            new[1:] = c[1:] != c[:-1]
-            new[0] = last_c is None or last_c != c[0]
-            head = np.flatnonzero(new)
-            run_no = np.cumsum(new)
-            p = np.append(pivot if pivot is not None else 0, x[head])[run_no]
-            pn = np.append(size_p if size_p is not None else 0, n[head])[run_no]
-            size = np.bincount(run_no, minlength=len(head) + 1)
-            inside = (run_no > 0) & (run_no < len(head))  # begun and ended in this batch
-            more = ~(inside & (size[run_no] == 2))
-            keep = (~new | (size[run_no] > 1)) & (more | new | (100 * np.minimum(n, pn) >= percent * np.maximum(n, pn)))
-            out = [c[keep], p[keep], pn[keep], x[keep], n[keep], more[keep]]
-            if pending is not None and not new[0]:
-                out = [np.append(a, b) for a, b in zip(out, pending, strict=True)]
-                pending = None
-            elif new[0]:
-                pending = None
-            if len(head) and size[-1] == 1:
-                pending = (c[-1], x[-1], n[-1], x[-1], n[-1], True)
-            elif len(head):
-                pending = None
-            last_c, last_x, pivot, size_p = c[-1], x[-1], p[-1], pn[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3]), pa.array(out[4].astype(np.int32)), pa.array(out[5])], names=["c", "p", "pn", "x", "n", "more"])
+            start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            size = np.diff(np.append(start, len(c)))
+            goes_on = open_run is not None and open_run[0] == c[0]
+            large = size > TINY
+            large[0] |= goes_on
+            tail_open = not large[-1]
+            done = np.flatnonzero(~large[: len(size) - tail_open])
+            yield from tiny(cols, start[done], size[done])
+            if large.any():
+                head = [v[start].copy() for v in (x, n, i)]
+                if goes_on:
+                    for v, was in zip(head, open_run[1:], strict=True):
+                        v[0] = was
+                rows = np.repeat(large, size)
+                pivots = [np.repeat(v, size) for v in head]
+                rows[start[1:] if goes_on else start] = False
+                yield members([v[rows] for v in cols], [v[rows] for v in pivots])
+                open_run = (c[-1], *(v[-1] for v in head)) if large[-1] else None
+            else:
+                open_run = None
+            last = x[-1]
+            held = [v[start[-1] :] for v in cols] if tail_open else None
+        if held is not None:
+            yield from tiny(held, np.zeros(1, np.int64), np.array([len(held[0])]))
 
     ordered = regions if "o" in regions.columns else regions.withColumn("o", F.lit(0))
-    return ordered.select("c", "x", "n", "o").repartition("c").sortWithinPartitions("c", "o", "x").mapInArrow(run, "c long, p long, pn int, x long, n int, more boolean")
+    return ordered.select("c", "x", "n", "i", "o").repartition("c").sortWithinPartitions("c", "o", "x").select("c", "x", "n", "i").mapInArrow(run, "kind byte, c long, p long, pn int, pi int, x long, n int, i int")
 
 
 def wanted_sets(spark: SparkSession, rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -230,9 +281,14 @@ def wanted_sets(spark: SparkSession, rows: DataFrame, reps: DataFrame, pairs: Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mask = held.value, np.uint64((1 << FILTER_BITS) - 1)
-        for keys, values, first in _blocks(batches, k):
-            at = (K.mix(keys.view(np.uint64)) & mask).astype(np.int64)
-            use = np.flatnonzero(((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool) & (np.diff(first) > 0))
+
+        def marked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = (K.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & mask).astype(np.int64)
+                yield batch.filter(pa.array(((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
+
+        for keys, values, first in _blocks(marked(), k):
+            use = np.flatnonzero(np.diff(first) > 0)
             body = [values[first[i] : first[i + 1]].tobytes() for i in use]
             yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(digests(values, first)[use]), pa.array(body, pa.binary())], names=["rep", "dg", "body"])
 
@@ -285,76 +341,66 @@ def size_bands(percent: int, most: int = 2**40) -> list[int]:
     return edges
 
 
-def banded(rows: DataFrame, percent: int) -> DataFrame:
-    """Cut regions (c, x, n, d, label) with several labels into bands of pivot distance and size.
+def banded(rows: DataFrame, distance: DataFrame, percent: int) -> DataFrame:
+    """Cut regions (c, p, x, n, i, label) with several labels into bands of distance (p, x, d) to the pivot and of size.
 
-    d is null where only d > threshold is known: such a member goes to all bands it can be in. In the
+    Where no distance is known it is above the threshold: such a member goes to all bands it can be in. In the
     result o is 0 for members whose label is not the commonest one, so that a pivot comes from them.
     """
     several = rows.groupBy("c").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("c")
-    left = rows.join(several, "c", "left_semi")
+    left = rows.join(several, "c", "left_semi").join(distance, ["p", "x"], "left")
     step = (100 - percent) / 100
     far = F.floor(F.col("d") / step + 1e-9).cast("int")
     fars = F.when(F.col("d").isNull(), F.sequence(F.lit(1), F.lit(math.ceil(1 / step)))).otherwise(F.sequence(far, far + 1))
     edges = F.array(*[F.lit(e) for e in size_bands(percent)])
     size = F.size(F.filter(edges, lambda e: e <= F.col("n")))
     cut = left.withColumn("far", F.explode(fars)).withColumn("size", F.explode(F.sequence(size, size + 1)))
-    cut = cut.select(F.xxhash64("c", "far", "size").alias("c"), "x", "n", "label")
+    cut = cut.select(F.xxhash64("c", "far", "size").alias("c"), "x", "n", "i", "label")
     labels = cut.groupBy("c", "label").agg(F.count("*").alias("m"))
     common = labels.groupBy("c").agg(F.max_by("label", F.struct("m", "label")).alias("common"), F.count("*").alias("k")).where("k > 1").select("c", "common")
-    return cut.join(common, "c").select("c", "x", "n", (F.col("label") == F.col("common")).cast("int").alias("o"))
-
-
-PAIR, MEMBER = 0, 1
+    return cut.join(common, "c").select("c", "x", "n", "i", (F.col("label") == F.col("common")).cast("int").alias("o"))
 
 
 def resolved(rows: DataFrame, percent: int, last: bool) -> DataFrame:
-    """What is left to do in regions (c, x, n, d, label), without their pivots: kind PAIR (p, x) or MEMBER (c, x, n, d, label).
+    """What is left to do in regions (c, p, x, n, i, label): kind PAIR (p, x) or MEMBER (all columns).
 
     A region of one label is done. One of up to SMALL members gives its pairs in different components
-    whose sizes and pivot distances allow a link; a larger one its members (with `last`, its pairs too, by blocks).
+    that can link; a larger one its members (with `last`, its pairs too, by blocks).
     """
-
-    def masks(n, d, label, i: slice, j: slice) -> np.ndarray:
-        a, b = n[i, None], n[None, j]
-        ok = (label[i, None] != label[None, j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-        return ok & ~(np.abs(d[i, None] - d[None, j]) > (100 - percent) / 100 + 1e-9)
+    names = ["kind", "c", "p", "x", "n", "i", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large, pairs = None, None, []
-        names = ["kind", "c", "x", "n", "d", "label", "p"]
 
         def members(cols, keep) -> pa.RecordBatch:
-            c, x, n, d, label = (v[keep] for v in cols)
-            m = len(c)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, MEMBER, np.int8)), pa.array(c), pa.array(x), pa.array(n, pa.int32()), pa.array(d, mask=np.isnan(d)), pa.array(label), pa.nulls(m, pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), MEMBER, np.int8)), *(pa.array(v[keep]) for v in cols)], names=names)
 
         def flush() -> pa.RecordBatch:
             two = np.unique(np.concatenate(pairs), axis=0)
             pairs.clear()
             m = len(two)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, PAIR, np.int8)), pa.nulls(m, pa.int64()), pa.array(two[:, 1].copy()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.array(two[:, 0].copy())], names=names)
+            nil, none = pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, PAIR, np.int8)), nil, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), none, none, nil], names=names)
 
         def runs(cols, bounds) -> Iterator[pa.RecordBatch]:
             """Pairs of whole regions."""
-            _, x, n, d, label = cols
-            n = n.astype(np.int64)
+            _, _, x, n, i, label = cols
+            n, i = n.astype(np.int64), i.astype(np.int64)
             lo, hi = np.minimum.reduceat(label, bounds[:-1]), np.maximum.reduceat(label, bounds[:-1])
             for k in np.flatnonzero(lo != hi).tolist():
                 a, b = bounds[k], bounds[k + 1]
-                for i in range(a, b, 1024):
-                    rows_i = slice(i, min(i + 1024, b))
-                    for j in range(i, b, 1024):
-                        rows_j = slice(j, min(j + 1024, b))
-                        one, two = np.nonzero(masks(n, d, label, rows_i, rows_j))
-                        one, two = x[one + i], x[two + j]
+                for u in range(a, b, 1024):
+                    s = slice(u, min(u + 1024, b))
+                    for v in range(u, b, 1024):
+                        t = slice(v, min(v + 1024, b))
+                        one, two = np.nonzero((label[s, None] != label[None, t]) & reach(n[s, None], i[s, None], n[None, t], i[None, t], percent))
                         if len(one):
-                            pairs.append(np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0))
+                            pairs.append(_pairs(x[one + u], x[two + v]))
                 if sum(map(len, pairs)) > 500_000:
                     yield flush()
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [batch.column(k).to_numpy() for k in range(6)]
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
             c = cols[0]
@@ -370,8 +416,7 @@ def resolved(rows: DataFrame, percent: int, last: bool) -> DataFrame:
                 yield members(cols, out)
             large = c[-1] if big[-1] else None
             held = None if big[-1] else [v[bounds[-2] :] for v in cols]
-            whole_runs = np.flatnonzero(~big[:-1])
-            if len(whole_runs):
+            if (~big[:-1]).any():
                 keep = np.append(~out[: bounds[-2]], np.zeros(len(c) - bounds[-2], bool))
                 yield from runs([v[keep] for v in cols], np.append(0, np.cumsum(size[:-1][~big[:-1]])))
         if held is not None:
@@ -379,7 +424,7 @@ def resolved(rows: DataFrame, percent: int, last: bool) -> DataFrame:
         if pairs:
             yield flush()
 
-    return rows.select("c", "x", "n", "d", "label").repartition("c").sortWithinPartitions("c").mapInArrow(run, "kind byte, c long, x long, n int, d double, label long, p long")
+    return rows.select("c", "p", "x", "n", "i", "label").repartition("c").sortWithinPartitions("c").mapInArrow(run, "kind byte, c long, p long, x long, n int, i int, label long")
 
 
 def linked(found: DataFrame, percent: int) -> DataFrame:
@@ -399,7 +444,7 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_i
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs_of, ranks = profiles(rows, k)
     reps = stored(docs_of.where("n > 0").groupBy("dg").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-reps")
-    members = stored(with_pivots(memberships(rows, spark.sparkContext.broadcast(ranks), k, percent), percent), "jaccard-members")
+    work = stored(with_pivots(memberships(rows, spark.sparkContext.broadcast(ranks), k, percent), percent), "jaccard-work")
 
     def exact(pairs: DataFrame) -> DataFrame:
         left = stored(possible(pairs.distinct(), reps, percent), "jaccard-pairs")
@@ -407,19 +452,20 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_i
 
     links, pairs = None, None
     for depth in range(DEPTH):
-        near = members.where(f"p <> x AND 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-        star = exact(near.select("p", "x"))
+        members = work.where(F.col("kind") == MEMBER)
+        near = members.where(f"{100 + percent} * least(n - i, pn - pi) >= {percent} * (n + pn) AND 100 * least(n, pn) >= {percent} * greatest(n, pn)")
+        star = exact(near.select("p", "x").unionByName(work.where(F.col("kind") == PAIR).select("p", "x")))
         links = linked(star, percent) if links is None else links.unionByName(linked(star, percent))
         labels = components(links)
-        distance = star.select("p", "x", ((F.col("total") - F.col("inter")) / F.col("total")).alias("d"))
-        own = members.where("p <> x AND more").join(distance, ["p", "x"], "left").join(labels.withColumnRenamed("node", "x"), "x", "left")
-        left = stored(resolved(own.select("c", "x", "n", "d", F.coalesce("label", "x").alias("label")), percent, depth == DEPTH - 1), "jaccard-left")
+        own = members.join(labels.withColumnRenamed("node", "x"), "x", "left").select("c", "p", "x", "n", "i", F.coalesce("label", "x").alias("label"))
+        left = stored(resolved(own, percent, depth == DEPTH - 1), "jaccard-left")
         found = left.where(F.col("kind") == PAIR).select("p", "x")
         pairs = found if pairs is None else pairs.unionByName(found)
-        large = left.where(F.col("kind") == MEMBER).drop("kind", "p")
+        large = left.where(F.col("kind") == MEMBER)
         if large.isEmpty():
             break
-        members = stored(with_pivots(banded(large, percent), percent), "jaccard-members")
+        distance = star.select("p", "x", ((F.col("total") - F.col("inter")) / F.col("total")).alias("d"))
+        work = stored(with_pivots(banded(large, distance, percent), percent), "jaccard-work")
     # components found since then leave fewer pairs
     for side in ("p", "x"):
         pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")

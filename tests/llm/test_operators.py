@@ -294,15 +294,16 @@ def chain(seed=5, n=40):
     return out
 
 
-@pytest.mark.parametrize("small", [256, 2])
-def test_jaccard(spark, docs, rows, empty, odd, monkeypatch, small):
+@pytest.mark.parametrize(("tiny", "small"), [(8, 4096), (2, 3)])
+def test_jaccard(spark, docs, rows, empty, odd, monkeypatch, tiny, small):
+    monkeypatch.setattr(jaccard, "TINY", tiny)
     monkeypatch.setattr(jaccard, "SMALL", small)
     more = [(10_000 + k, t, None, None, 0) for k, t in enumerate(chain())]
     both = docs.unionByName(spark.createDataFrame(more, SCHEMA))
     want = brute_components([(i, t) for i, t, *_ in rows + more])
     assert plain(jaccard.cluster(both)) == want
     assert len({c for _, c in want.values()}) < len(want) - 30
-    if small == 256:
+    if tiny == 8:
         assert jaccard.cluster(empty).count() == 0
         out = jaccard.cluster(odd).collect()
         assert len(out) == 5 and [r["component_id"] for r in out if r["doc_id"] == 7] == [7]
