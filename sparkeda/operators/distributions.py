@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import equal_bin, finite
 from sparkeda.functions.ordered import quantiles, running
+from sparkeda.functions.special import gamma_lower, gamma_shape
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -134,6 +136,50 @@ def ks_distance(df: DataFrame, column: str, law: str) -> DataFrame:
     return out.select(F.lit(law).alias("law"), F.col("total").alias("n"), F.round("mean", 6).alias("location"), F.round("sd", 6).alias("scale"), F.round("ks", 6).alias("ks"), F.round(2 * k - 2 * log_l, 3).alias("aic"))
 
 
+def _steps_distance(c: DataFrame, cdf: Column) -> float:
+    """Largest distance of cumulated shares to a law, on both sides of each step."""
+    total = c.agg(F.sum("n").alias("total"))
+    steps = running(c, "x", "n").join(F.broadcast(total)).select("n", "cum", "total", cdf.alias("p"))
+    d = F.greatest(F.abs(F.col("cum") / F.col("total") - F.col("p")), F.abs(F.col("p") - (F.col("cum") - F.col("n")) / F.col("total")))
+    return steps.agg(F.max(d)).first()[0]
+
+
+def weibull_distance(df: DataFrame, column: str, rounds: int = 30) -> DataFrame:
+    """Weibull law of positive values: the shape by Newton's method, one aggregate a round."""
+    c = value_counts(df, column).where("x > 0").persist()
+    n, logs = c.agg(F.sum("n"), F.sum(F.col("n") * F.log("x"))).first()
+    k = 1.0
+    for _ in range(rounds):
+        w = F.col("n") * F.pow("x", F.lit(k))
+        a, b, e = c.agg(F.sum(w), F.sum(w * F.log("x")), F.sum(w * F.log("x") ** 2)).first()
+        step = (b / a - 1 / k - logs / n) / (1 / k**2 + e / a - (b / a) ** 2)
+        k = max(k - step, k / 4)
+        if abs(step) < 1e-10 * k:
+            break
+    scale = (c.agg(F.sum(F.col("n") * F.pow("x", F.lit(k)))).first()[0] / n) ** (1 / k)
+    ks = _steps_distance(c, 1 - F.exp(-F.pow(F.col("x") / scale, F.lit(k))))
+    log_l = n * math.log(k) - n * k * math.log(scale) + (k - 1) * logs - n
+    c.unpersist()
+    return df.sparkSession.createDataFrame([("weibull", n, round(scale, 6), round(k, 6), round(ks, 6), round(4 - 2 * log_l, 3))], "law string, n long, location double, scale double, ks double, aic double")
+
+
+def gamma_distance(df: DataFrame, column: str) -> DataFrame:
+    """Gamma law of positive values: shape from two sums, the distance by a vectorised distribution function."""
+    c = value_counts(df, column).where("x > 0").persist()
+    n, total, logs = c.agg(F.sum("n"), F.sum(F.col("n") * F.col("x")), F.sum(F.col("n") * F.log("x"))).first()
+    k = gamma_shape(total / n, logs / n)
+    scale = total / n / k
+
+    @F.pandas_udf("double")
+    def cdf(x: pd.Series) -> pd.Series:
+        return pd.Series(gamma_lower(k, x.to_numpy() / scale))
+
+    ks = _steps_distance(c, cdf("x"))
+    log_l = (k - 1) * logs - total / scale - n * k * math.log(scale) - n * math.lgamma(k)
+    c.unpersist()
+    return df.sparkSession.createDataFrame([("gamma", n, round(k, 6), round(scale, 6), round(ks, 6), round(4 - 2 * log_l, 3))], "law string, n long, location double, scale double, ks double, aic double")
+
+
 def poisson_distance(df: DataFrame, column: str) -> DataFrame:
     """Poisson law by the mean, and its distance on the support of the counts seen."""
     c = value_counts(df, column)
@@ -155,6 +201,8 @@ def family_fit(df: DataFrame, column: str) -> DataFrame:
     for law in laws:
         one = ks_distance(df, column, law)
         out = one if out is None else out.unionByName(one)
+    if (facts["lo"] or 0) > 0 and facts["d"] > 2:
+        out = out.unionByName(weibull_distance(df, column)).unionByName(gamma_distance(df, column))
     if facts["whole"] and facts["lo"] is not None and facts["lo"] >= 0:
         out = out.unionByName(poisson_distance(df, column))
     rows = out.collect()

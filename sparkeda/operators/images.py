@@ -73,6 +73,28 @@ def decode_png(raw: bytes) -> np.ndarray | None:
         return None
 
 
+def orientation(raw: bytes) -> int | None:
+    """EXIF orientation of a JPEG (1 is upright; 5 to 8 swap the sides); None without one."""
+    at = 2
+    while raw[:2] == b"\xff\xd8" and at + 4 <= len(raw) and raw[at] == 0xFF:
+        kind, size = raw[at + 1], int.from_bytes(raw[at + 2 : at + 4], "big")
+        body = raw[at + 4 : at + 2 + size]
+        if kind == 0xE1 and body[:6] == b"Exif\0\0":
+            tiff = body[6:]
+            order = "little" if tiff[:2] == b"II" else "big"
+            number = lambda a, n: int.from_bytes(tiff[a : a + n], order)
+            first = number(4, 4)
+            for k in range(min(number(first, 2), 200)):
+                entry = first + 2 + 12 * k
+                if number(entry, 2) == 0x0112:
+                    return number(entry + 8, 2) or None
+            return None
+        if kind == 0xDA:
+            break
+        at += 2 + size
+    return None
+
+
 def shrink(grey: np.ndarray, h: int, w: int) -> np.ndarray:
     """Means over an h x w grid of cells."""
     rows = np.linspace(0, grey.shape[0], h + 1).astype(int)
@@ -98,7 +120,7 @@ def measure(raw: bytes) -> dict:
     }
 
 
-RECORD = "path string, label string, split string, suffix string, format string, length long, sha256 string, truncated boolean, width int, height int, brightness double, contrast double, sharpness double, entropy double, grey_as_rgb boolean, alpha_used boolean, ahash long, dhash long, valid boolean"
+RECORD = "path string, label string, split string, suffix string, format string, length long, sha256 string, truncated boolean, width int, height int, brightness double, contrast double, sharpness double, entropy double, grey_as_rgb boolean, alpha_used boolean, ahash long, dhash long, orientation int, valid boolean"
 
 
 def records(files: DataFrame) -> DataFrame:
@@ -112,6 +134,7 @@ def records(files: DataFrame) -> DataFrame:
         for pdf in batches:
             got = pd.DataFrame([measure(c) for c in pdf["content"]], index=pdf.index)
             out = pd.concat([pdf.drop(columns="content"), got], axis=1)
+            out["orientation"] = pd.array([orientation(c) for c in pdf["content"]], dtype="Int32")
             out["valid"] = out["format"].notna() & ~((out["format"] == "png") & out["width"].isna())
             for c in ("width", "height"):
                 out[c] = out[c].astype("Int32")
@@ -154,9 +177,9 @@ def quality_flags(rows: DataFrame) -> DataFrame:
 
 
 def loader_traps(rows: DataFrame) -> DataFrame:
-    """path and trap: a suffix that is not the format, truncation, grey stored as colour, used alpha."""
+    """path and trap: a suffix that is not the format, truncation, grey stored as colour, used alpha, a turned orientation."""
     same = F.when(F.col("suffix") == "jpg", "jpeg").when(F.col("suffix") == "tif", "tiff").otherwise(F.col("suffix"))
-    traps = {"extension": F.col("format").isNotNull() & (same != F.col("format")), "truncated": F.col("truncated"), "grey_as_colour": F.col("grey_as_rgb"), "alpha": F.col("alpha_used"), "undecodable": ~F.col("valid")}
+    traps = {"extension": F.col("format").isNotNull() & (same != F.col("format")), "truncated": F.col("truncated"), "grey_as_colour": F.col("grey_as_rgb"), "alpha": F.col("alpha_used"), "orientation": F.col("orientation") > 1, "undecodable": ~F.col("valid")}
     return rows.select("path", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in traps.items()]))).alias("trap"))
 
 

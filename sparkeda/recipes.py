@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import columns_of, family
-from sparkeda.model import AnalysisResult, Artifact, Evidence, Finding, Step, Warning_, emit, sort_findings, split_findings
+from sparkeda.model import AnalysisResult, Artifact, Evidence, Finding, SamplingRecord, Step, Warning_, emit, sort_findings, split_findings
 from sparkeda.operators import anomaly as an
 from sparkeda.operators import associations as assoc
 from sparkeda.operators import catalog as cat
@@ -196,6 +196,10 @@ def _associations(run: Run, df: DataFrame, t: dict, cap: int) -> None:
         ev = run.evidence("profile_association_matrix", found, name, tuple(numeric + labels), "spearman_cramersv_correlation_ratio")
         for m in sorted((m for m in found if (m["strength"] or 0) >= 0.8), key=lambda m: (-m["strength"], m["first"], m["second"]))[:8]:
             run.finding(f"{m['first']} and {m['second']} are strongly associated in {name}", "info", ev, category="observation")
+        for m in sorted((m for m in found if m["method"] == "spearman" and m["strength"] is not None), key=lambda m: (-m["strength"], m["first"], m["second"]))[:6]:
+            points = cat.seeded_sample(df.select(m["first"], m["second"]).dropna(), 500, [m["first"], m["second"]])
+            run.evidence("profile_scatter", rows(points), name, (m["first"], m["second"]), "seeded_sample_of_pairs")
+            run.result.sampling.append(SamplingRecord("scatter", t["n_rows"], min(500, t["n_rows"]), reason="points of a chart"))
     holes = [c["column"] for c in t["columns"] if c["n_missing"]]
     if holes:
         run.evidence("profile_missingness", rows(q.missing_rates(df)), name, tuple(holes))
@@ -684,6 +688,8 @@ def images(files: DataFrame, context, callbacks, threshold: int = 4) -> Analysis
         kinds = {t["trap"] for t in traps}
         if "truncated" in kinds:
             run.finding("Truncated image files", "high", ev)
+        if "orientation" in kinds:
+            run.finding("Images will rotate depending on the loader", "medium", ev, step="normalize_exif_orientation")
         if "extension" in kinds:
             run.finding("File extensions do not match the actual encoding", "medium", ev)
         if kinds & {"grey_as_colour", "alpha"}:

@@ -30,6 +30,18 @@ def line(values: list[float], width: int = 480, height: int = 120) -> str:
     return f'<svg width="{width}" height="{height}" role="img"><polyline points="{path}" fill="none" stroke="#269"/></svg>'
 
 
+def dots(points: list[dict], width: int = 320, height: int = 220) -> str:
+    """A scatter of the first two columns."""
+    pairs = [tuple(p.values())[:2] for p in points]
+    pairs = [(float(a), float(b)) for a, b in pairs if a is not None and b is not None]
+    if not pairs:
+        return ""
+    xs, ys = zip(*pairs, strict=True)
+    at = lambda v, all_, size: (v - min(all_)) / ((max(all_) - min(all_)) or 1) * size
+    body = "".join(f'<circle cx="{at(a, xs, width):.1f}" cy="{height - at(b, ys, height):.1f}" r="2" fill="#269"/>' for a, b in pairs)
+    return f'<svg width="{width}" height="{height}" role="img">{body}</svg>'
+
+
 def heat(cells: list[dict], width: int = 320) -> str:
     """A matrix of strengths."""
     names = sorted({c["first"] for c in cells} | {c["second"] for c in cells})
@@ -49,6 +61,8 @@ def chart(kind: str, value: Any) -> str:
         return line([p["n"] for p in sorted(value, key=lambda p: p["period"])])
     if kind == "profile_association_matrix":
         return heat(value)
+    if kind == "profile_scatter":
+        return dots(value)
     if kind == "time_series_autocorrelation":
         return bars([(a["lag"], abs(a["acf"] or 0)) for a in sorted(value, key=lambda a: a["lag"])])
     if kind == "column_comparison_chart" and "bins" in value:
