@@ -17,7 +17,7 @@ from sparkeda.llm.shared import stored
 HEAD, TAILS = 319, 192
 END_CLASS = HEAD + TAILS
 CLASSES = HEAD + TAILS + 1
-#: Most frequent words whose counts every worker holds (16 bytes each); the others meet theirs in a join.
+#: Bound on the most frequent words whose counts every worker holds (16 bytes each); the others meet theirs in a join.
 FREQUENT = 100_000
 END = np.uint64(0x9AE16A3B2F90404F)
 NO_ID = -(2**63)
@@ -147,7 +147,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             yield flush()
 
     counts = stored(rows.mapInArrow(count, "h long, k int, n long").groupBy("h", "k").agg(F.sum("n").alias("n")).where("n > 0"), "lm-counts")
-    top = counts.where(F.col("k") < TAILS).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    # the counts from which on at most FREQUENT words have one: by 16 bins an octave, so that the driver gets no more than it keeps
+    octave = F.floor(F.log2("n") * 16).cast("int")
+    words = counts.where(F.col("k") < TAILS).withColumn("bin", octave)
+    least, total = 1 << 30, 0
+    for r in sorted(words.groupBy("bin").agg(F.count("*").alias("m")).collect(), reverse=True):
+        total += r["m"]
+        if total > FREQUENT:
+            break
+        least = r["bin"]
+    top = words.where(F.col("bin") >= least).select("h", "n", "k").toPandas().sort_values(["n", "h"], ascending=[False, True])
     top_hash, top_n, top_k = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["k"].to_numpy(np.int64)
     by_class = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     train_tokens, distinct = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
