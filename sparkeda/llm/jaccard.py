@@ -194,7 +194,9 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def with_pivots(regions: DataFrame, percent: int) -> DataFrame:
     """Regions (c, x, n, i) of two or more sets: kind PAIR (p, x) of those up to TINY sets, else MEMBER (c, p, pn, pi, x, n, i).
 
-    The pivot p is the first set by (o, x); it has no row of its own. Streams through regions of any size.
+    The pivot p is the first set by (o, i, x); it has no row of its own. The set with the fewest rarer
+    shingles is the one nearest to what the others have in common: of edited copies, the original.
+    Streams through regions of any size.
     """
     names = ["kind", "c", "p", "pn", "pi", "x", "n", "i"]
 
@@ -263,7 +265,7 @@ def with_pivots(regions: DataFrame, percent: int) -> DataFrame:
             yield from tiny(held, np.zeros(1, np.int64), np.array([len(held[0])]))
 
     ordered = regions if "o" in regions.columns else regions.withColumn("o", F.lit(0))
-    return ordered.select("c", "x", "n", "i", "o").repartition("c").sortWithinPartitions("c", "o", "x").select("c", "x", "n", "i").mapInArrow(run, "kind byte, c long, p long, pn int, pi int, x long, n int, i int")
+    return ordered.select("c", "x", "n", "i", "o").repartition("c").sortWithinPartitions("c", "o", "i", "x").select("c", "x", "n", "i").mapInArrow(run, "kind byte, c long, p long, pn int, pi int, x long, n int, i int")
 
 
 def wanted_sets(spark: SparkSession, rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
