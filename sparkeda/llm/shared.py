@@ -36,13 +36,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by stored() that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; lower() does the same where a text is ASCII, and quicker."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
