@@ -17,8 +17,9 @@ CHI2_MEDIAN = 3.3566939800333
 SHARE = 0.75
 STEPS = 3
 MIN_GROUP = 50
-#: Squared distance from which a document is rejected; ten standard deviations.
-CUT = 100.0
+#: Squared distance from which a document is rejected: the 0.999 quantile of the same distribution.
+#: By FLOORS repeated words reach 50 and repeated lines 100 by themselves, so that each can reject.
+CUT = 18.4668269529032
 BINS = 200
 
 

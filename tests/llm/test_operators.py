@@ -382,6 +382,23 @@ def test_quality_outliers(spark):
         assert abs(got[i]["distance2"] - v) <= 1e-3 * max(1, v)
 
 
+def test_quality_rejects_repeats_alone(spark):
+    """Texts within the base rules whose only fault is 50 % repeated words, or 40 % repeated lines, go."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    rows = [(k, " ".join(word() for _ in range(80))) for k in range(200)]
+    for k in range(4):
+        w = [word() for _ in range(80)]
+        rows.append((1000 + k, " ".join(w[:60] + w[:20])))
+        rows.append((2000 + k, "\n".join([" ".join(w[:36]), " ".join(w[36:])] + [x for x in w[:2] for _ in range(3)] + w[2:4])))
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert math.isclose(math.exp(-quality.CUT / 2) * (1 + quality.CUT / 2), 0.001, rel_tol=1e-6)  # the tail of chi-squared with 4 degrees of freedom
+    assert all(got[k]["kept"] for k in range(200))
+    for k in range(4):
+        assert got[1000 + k]["n_repeat_words"] == 40 and not got[1000 + k]["base_failed"] and not got[1000 + k]["kept"]
+        assert got[2000 + k]["n_dup_lines"] == 4 and not got[2000 + k]["base_failed"] and not got[2000 + k]["kept"]
+
+
 def test_scoring(docs, rows, empty, odd):
     got = plain(scoring.score(docs))
     texts = {i: words(low(t)) + [None] for i, t, *_ in rows}
