@@ -92,12 +92,41 @@ def kmeans_labels(m: DataFrame, key: str, columns: list[str], k: int, seed: int
     return model.transform(v).select(key, *columns, F.col("prediction").alias("label")), float(model.summary.trainingCost)
 
 
-def silhouette(labelled: DataFrame, key: str, columns: list[str], budget: int = 1500, seed: int = 42) -> DataFrame:
-    """Mean plain-Euclidean silhouette of each segment, on a sample of at most `budget` rows."""
-    s = seeded_sample(labelled, budget, [key], seed)
-    lab = s.select(F.col(key).alias("_k"), "label")
-    d = distances(s, key, columns).join(F.broadcast(lab.withColumnsRenamed({"_k": "i", "label": "li"})), "i").join(F.broadcast(lab.withColumnsRenamed({"_k": "j", "label": "lj"})), "j")
-    by = d.groupBy("i", "li", "lj").agg(F.avg("d").alias("m"))
+def block_pairs(points: DataFrame, key: str, columns: list[str], more: list[str] | None = None, size: int = 16384) -> DataFrame:
+    """Every pair of blocks of about `size` rows, as arrays (l_ and r_): all pairs of rows come together, two blocks at a time."""
+    n = max(1, -(-points.count() // size))
+    facts = [F.col(key).alias("k"), *[F.col(c) for c in more or []], *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"x{j}") for j, c in enumerate(columns)]]
+    rows = points.select(F.pmod(F.xxhash64(F.lit(7), F.col(key).cast("string")), F.lit(n)).alias("block"), F.struct(*facts).alias("s")).groupBy("block").agg(F.collect_list("s").alias("s"))
+    names = ["k", *(more or []), *[f"x{j}" for j in range(len(columns))]]
+    left, right = (rows.select(F.col("block").alias(f"{side}_block"), *[F.col(f"s.{c}").alias(f"{side}_{c}") for c in names]) for side in "lr")
+    return left.crossJoin(right).repartition(min(n * n, 4096), "l_block", "r_block")
+
+
+def silhouette(labelled: DataFrame, key: str, columns: list[str], budget: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean plain-Euclidean silhouette of each segment over all rows, in pairs of blocks; with `budget`, on a sample of at most so many rows."""
+    s = labelled if budget is None else seeded_sample(labelled, budget, [key], seed)
+    kinds, dims = dict(s.dtypes), len(columns)
+
+    def sums(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                x, y = (np.stack([np.asarray(r[f"{side}_x{j}"], float) for j in range(dims)], 1) for side in "lr")
+                names, place = np.unique(np.asarray(r["r_label"]), return_inverse=True)
+                member = np.eye(len(names))[place]
+                for at in range(0, len(x), 256):
+                    part = x[at : at + 256]
+                    d = np.sqrt(sum((part[:, j, None] - y[None, :, j]) ** 2 for j in range(dims)))
+                    known = ~np.isnan(d)
+                    if r["l_block"] == r["r_block"]:
+                        known[np.arange(len(part)), at + np.arange(len(part))] = False
+                    total, n = np.where(known, d, 0.0) @ member, known @ member
+                    for k, name in enumerate(names):
+                        yield pd.DataFrame({"i": r["l_k"][at : at + 256], "li": r["l_label"][at : at + 256], "lj": name, "s": total[:, k], "n": n[:, k].astype(int)})
+
+    parts = block_pairs(s, key, columns, ["label"]).mapInPandas(sums, f"i {kinds[key]}, li {kinds['label']}, lj {kinds['label']}, s double, n long")
+    by = parts.groupBy("i", "li", "lj").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0").select("i", "li", "lj", (F.col("s") / F.col("n")).alias("m"))
     ab = by.groupBy("i", "li").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("m"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("m"))).alias("b"))
     return ab.groupBy(F.col("li").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("a").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)), 6).alias("silhouette"))
 
