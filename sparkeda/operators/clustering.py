@@ -43,10 +43,59 @@ def distances(points: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return a.join(F.broadcast(b), F.col("i") != F.col("j")).select("i", "j", d.alias("d"))
 
 
-def near_duplicates(df: DataFrame, key: str, columns: list[str], budget: int = 1500, seed: int = 42) -> DataFrame:
-    """Exact repeats of feature rows over all rows, and on a sample nearest neighbours within 2 % of the median positive distance."""
+def block_pairs(points: DataFrame, key: str, columns: list[str], more: list[str] | None = None, size: int = 16384) -> DataFrame:
+    """Every pair of blocks of about `size` rows, as arrays (l_ and r_): all pairs of rows come together, two blocks at a time."""
+    n = max(1, -(-points.count() // size))
+    facts = [F.col(key).alias("k"), *[F.col(c) for c in more or []], *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"x{j}") for j, c in enumerate(columns)]]
+    rows = points.select(F.pmod(F.xxhash64(F.lit(7), F.col(key).cast("string")), F.lit(n)).alias("block"), F.struct(*facts).alias("s")).groupBy("block").agg(F.collect_list("s").alias("s"))
+    names = ["k", *(more or []), *[f"x{j}" for j in range(len(columns))]]
+    left, right = (rows.select(F.col("block").alias(f"{side}_block"), *[F.col(f"s.{c}").alias(f"{side}_{c}") for c in names]) for side in "lr")
+    return left.crossJoin(right).repartition(min(n * n, 4096), "l_block", "r_block")
+
+
+def nearest(points: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
+    """(i, j, d): the k nearest other rows of every row, ties by key; exact, over all rows, in pairs of blocks.
+
+    Blocks are sorted by their first coordinate, and a group of rows looks only as far along it as its k-th distance.
+    """
+    kind, dims = dict(points.dtypes)[key], len(columns)
+
+    def search(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                (x, i), (y, j) = ((np.stack([np.nan_to_num(np.asarray(r[f"{side}_x{c}"], float)) for c in range(dims)], 1), np.asarray(r[f"{side}_k"])) for side in "lr")
+                x, i = x[o := np.argsort(x[:, 0], kind="stable")], i[o]
+                y, j = y[o := np.argsort(y[:, 0], kind="stable")], j[o]
+                for at in range(0, len(x), 128):
+                    part, ids = x[at : at + 128], i[at : at + 128]
+                    reach = max(y[-1, 0] - y[0, 0], 1e-300) / 64
+                    while True:
+                        lo, hi = np.searchsorted(y[:, 0], part[0, 0] - reach), np.searchsorted(y[:, 0], part[-1, 0] + reach, "right")
+                        d = np.sqrt(sum((part[:, c, None] - y[None, lo:hi, c]) ** 2 for c in range(dims)))
+                        d[ids[:, None] == j[None, lo:hi]] = np.inf
+                        kth = np.partition(d, k - 1, axis=1)[:, k - 1] if hi - lo >= k else np.full(len(part), np.inf)
+                        if (lo == 0 and hi == len(y)) or kth.max() < reach:
+                            break
+                        reach *= 2
+                    at_row, at_col = np.nonzero((d <= kth[:, None]) & (d < np.inf))
+                    order = np.lexsort((j[lo:hi][at_col], d[at_row, at_col], at_row))
+                    at_row, at_col = at_row[order], at_col[order]
+                    first = np.searchsorted(at_row, np.arange(len(part) + 1))
+                    take = [slice(p, min(p + k, q)) for p, q in zip(first[:-1], first[1:], strict=True)]
+                    yield pd.DataFrame({"i": ids, "d": [d[at_row[t], at_col[t]] for t in take], "j": [j[lo:hi][at_col[t]] for t in take]})
+
+    found = block_pairs(points, key, columns).mapInPandas(search, f"i {kind}, d array<double>, j array<{kind}>")
+    best = found.groupBy("i").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "j")))), 1, k).alias("best"))
+    return best.select("i", F.inline("best")).select("i", "j", "d")
+
+
+def near_duplicates(df: DataFrame, key: str, columns: list[str], budget: int | None = None, seed: int = 42) -> DataFrame:
+    """Exact repeats of feature rows over all rows, and nearest neighbours within 2 % of the median positive distance: of all rows, or with `budget` of a sample of at most so many."""
     exact = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("n_repeated"))
-    nn = distances(seeded_sample(matrix(df, key, columns), budget, [key], seed), key, columns).groupBy("i").agg(F.min("d").alias("d"))
+    x = matrix(df, key, columns)
+    nn = nearest(x if budget is None else seeded_sample(x, budget, [key], seed), key, columns, 1)
     med = nn.agg(F.percentile(F.when(F.col("d") > 0, F.col("d")), 0.5).alias("typical"))
     near = nn.join(F.broadcast(med)).agg(F.count_if(F.col("d") <= 0.02 * F.col("typical")).alias("n_near"), F.count(F.lit(1)).alias("n_sampled"))
     return exact.join(F.broadcast(near))
@@ -92,16 +141,6 @@ def kmeans_labels(m: DataFrame, key: str, columns: list[str], k: int, seed: int
     return model.transform(v).select(key, *columns, F.col("prediction").alias("label")), float(model.summary.trainingCost)
 
 
-def block_pairs(points: DataFrame, key: str, columns: list[str], more: list[str] | None = None, size: int = 16384) -> DataFrame:
-    """Every pair of blocks of about `size` rows, as arrays (l_ and r_): all pairs of rows come together, two blocks at a time."""
-    n = max(1, -(-points.count() // size))
-    facts = [F.col(key).alias("k"), *[F.col(c) for c in more or []], *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"x{j}") for j, c in enumerate(columns)]]
-    rows = points.select(F.pmod(F.xxhash64(F.lit(7), F.col(key).cast("string")), F.lit(n)).alias("block"), F.struct(*facts).alias("s")).groupBy("block").agg(F.collect_list("s").alias("s"))
-    names = ["k", *(more or []), *[f"x{j}" for j in range(len(columns))]]
-    left, right = (rows.select(F.col("block").alias(f"{side}_block"), *[F.col(f"s.{c}").alias(f"{side}_{c}") for c in names]) for side in "lr")
-    return left.crossJoin(right).repartition(min(n * n, 4096), "l_block", "r_block")
-
-
 def silhouette(labelled: DataFrame, key: str, columns: list[str], budget: int | None = None, seed: int = 42) -> DataFrame:
     """Mean plain-Euclidean silhouette of each segment over all rows, in pairs of blocks; with `budget`, on a sample of at most so many rows."""
     s = labelled if budget is None else seeded_sample(labelled, budget, [key], seed)

@@ -28,7 +28,7 @@ def scaled_matrix(spark, sf_dir):
 
 @query()
 def near_duplicates(spark, sf_dir):
-    return op.near_duplicates(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey", ["c_nationkey", "c_acctbal"], 500)
+    return op.near_duplicates(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey", ["c_nationkey", "c_acctbal"])
 
 
 _LAB = "(SELECT c_custkey, c_acctbal::DOUBLE AS c_acctbal, c_nationkey::DOUBLE AS c_nationkey, c_mktsegment, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 5000 THEN 1 ELSE 2 END AS label FROM customer)"
