@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkeda.llm.shared import numbered, place_of
+
 
 def next_prime(n: int) -> int:
     """The smallest prime that is n or more."""
@@ -46,20 +48,21 @@ def slot_of(key: Column, slots: int) -> Column:
 
 
 def shard(docs: DataFrame, n_shards: int = 64, slots: int | None = None, key: str = "doc_id") -> DataFrame:
-    """All rows and columns of docs, and slot long and shard int (columns of these names are replaced).
+    """All rows and columns of docs, and slot long and shard int (columns of these names, in any case, are replaced).
 
     Each row looks its slot up in a broadcast table of fixed size (slots rows), so placement
     costs no shuffle and a hot key or a group of copies adds no pairs. A null key has a slot
-    like any other; equal keys share a shard.
+    like any other; equal keys share a shard; keys may be of any type (their text counts). An empty
+    table gives an empty one.
     """
     slots = slots or next_prime(100 * n_shards)
     table = lookup_table([f"shard-{k}" for k in range(n_shards)], slots)
-    spark = docs.sparkSession
     filled = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    lookup = spark.range(1).select(F.posexplode(filled).alias("slot", "shard")).select(F.col("slot").cast("long").alias("slot"), "shard")
-    kept = [c for c in docs.columns if c not in ("slot", "shard")]
-    placed = docs.select(*[docs[c] for c in kept], slot_of(F.col(key), slots).alias("slot"))
-    return placed.join(F.broadcast(lookup), "slot").select(*kept, "slot", "shard")
+    lookup = docs.sparkSession.range(1).select(F.posexplode(filled).alias("slot", "shard")).select(F.col("slot").cast("long").alias("slot"), "shard")
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in ("slot", "shard")]
+    placed = numbered(docs).select(*[f"_{i}" for i in kept], slot_of(F.col(f"_{place_of(docs, key)}"), slots).alias("slot"))
+    placed = placed.join(F.broadcast(lookup), "slot").select(*[f"_{i}" for i in kept], "slot", "shard")
+    return placed.toDF(*[docs.columns[i] for i in kept], "slot", "shard")
 
 
 def oracle(n_shards: int = 64, slots: int | None = None) -> str:
