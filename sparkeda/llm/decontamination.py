@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkeda.llm.shared import ascii_lower, split_words, stored
+from sparkeda.llm.shared import ascii_lower, discard, keyed_texts, picked, real_id, split_words, stored
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark windows that one broadcast holds: about 40 MB. A larger benchmark goes in blocks of it.
+#: Benchmark windows that one broadcast holds: about 10 MB. A larger benchmark goes in blocks of it.
 BLOCK_WINDOWS = 100_000
 
 
@@ -27,80 +27,100 @@ def window_minima(hashes: str, width: int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.array_min(F.slice(hashes, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def window_key(w: Column) -> list[Column]:
+    """Two hashes of a window's words, 96 bits."""
+    return [F.xxhash64(w).alias("a"), F.hash(w).alias("b")]
+
+
 def benchmark_windows(benchmark: DataFrame, size: int, k: int, item_id: str, text: str) -> DataFrame:
-    """One row per window of an item: item_id, fp (fingerprint), off (of the fingerprint in the window), w (its words).
+    """One row per distinct window of an item: item_id, fp (fingerprint), m (words), a and b (its key).
 
-    The fingerprint of a full window is the smallest hash of its k-grams; of a shorter item it is
-    the hash of the item's longest word.
+    The fingerprint of a full window is the smallest hash of its k-grams; of a shorter item, which is
+    one window, it is the hash of its longest word.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
+    items = picked(benchmark, item=item_id, text=text).where("item IS NOT NULL")
+    items = items.select(F.col("item").cast("string").alias("item_id"), words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
     long = items.where(F.size("words") >= size).select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("w"))
-    long = long.withColumn("h", gram_hashes("w", k)).withColumn("fp", F.array_min("h")).select("item_id", "fp", (F.array_position("h", F.col("fp")) - 1).cast("int").alias("off"), "w")
-    longest = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))
-    short = items.where(F.size("words") < size).withColumn("m", longest)
-    short = short.select("item_id", F.xxhash64(F.array("m.w")).alias("fp"), (-F.col("m.i")).cast("int").alias("off"), F.col("words").alias("w"))
-    return long.withColumn("short", F.lit(False)).unionByName(short.withColumn("short", F.lit(True))).distinct()
+    long = long.withColumn("fp", F.array_min(gram_hashes("w", k)))
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = items.where(F.size("words") < size).select("item_id", F.col("words").alias("w"), F.xxhash64(F.array(longest)).alias("fp"))
+    return long.unionByName(short).select("item_id", "fp", F.size("w").alias("m"), *window_key(F.col("w"))).distinct()
 
 
-def hits(docs: DataFrame, windows: DataFrame, n_windows: int, short: bool, size: int, k: int) -> DataFrame:
-    """Rows (doc_id, n_words, item_id, at, n): a window of n words of an item stands at word `at`.
+def scanned(worded: DataFrame, keys: list[str], prints: DataFrame, short: bool, size: int, k: int) -> DataFrame:
+    """(keys, n_words, met): a row for each document, and one for each of its fingerprints that the benchmark has.
 
-    A row without item_id stands for each document itself. Fingerprints of the documents meet
-    those of a block of the benchmark in a broadcast join; the whole window is then compared in place.
+    Only fingerprints leave the text's row, never its words beside each, so work is linear in the length.
     """
-    grams = docs.withColumn("h", gram_hashes("words", k))
-    prints = F.array_distinct(window_minima("h", size - k + 1))
-    probe = F.struct(F.lit(None).cast("bigint").alias("fp"), F.lit(False).alias("short"))
-    entries = F.array_append(F.transform(prints, lambda x: F.struct(x.alias("fp"), F.lit(False).alias("short"))), probe)
-    grams = grams.withColumn("g", F.transform("words", lambda w: F.xxhash64(F.array(w))) if short else F.array().cast("array<bigint>"))
+    entries = F.array_distinct(window_minima("h", size - k + 1))
+    entries = F.transform(entries, lambda x: F.struct(x.alias("fp"), F.lit(False).alias("short")))
     if short:
-        entries = F.concat(entries, F.transform(F.array_distinct("g"), lambda x: F.struct(x.alias("fp"), F.lit(True).alias("short"))))
-    out = None
-    blocks = max(1, -(-n_windows // BLOCK_WINDOWS))
-    for b in range(blocks):
-        side = windows if blocks == 1 else windows.where(F.pmod("fp", F.lit(blocks)) == b)
-        each = grams.select("doc_id", "words", "h", "g", F.explode(entries).alias("e")).select("doc_id", F.size("words").cast("long").alias("n_words"), "words", "h", "g", "e.fp", "e.short")
-        met = each.join(F.broadcast(side), ["fp", "short"], "left").where(F.col("item_id").isNotNull() | F.col("fp").isNull())
-        found = F.when(F.col("short"), F.col("g")).otherwise(F.col("h"))
-        met = met.withColumn("found", F.when(F.col("item_id").isNotNull(), found))
-        same = F.transform("found", lambda x, i: F.when(x == F.col("fp"), i - F.col("off")))
-        same = F.filter(F.array_compact(same), lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, F.size("w")) == F.col("w")))
-        starts = F.when(F.col("item_id").isNull(), F.array(F.lit(-1))).otherwise(same)
-        part = met.select("doc_id", "n_words", "item_id", F.explode(starts).alias("at"), F.size("w").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def summarise(found: DataFrame) -> DataFrame:
-    """One row per doc_id; words under several windows count once."""
-    docs = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    real = found.where(F.col("item_id").isNotNull())
-    spots = real.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items = real.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    one = lambda df: df.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(one(spots), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").join(one(items), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        own = F.array_distinct(F.transform("words", lambda w: F.xxhash64(F.array(w))))
+        entries = F.concat(entries, F.transform(own, lambda x: F.struct(x.alias("fp"), F.lit(True).alias("short"))))
+    entries = F.array_append(entries, F.struct(F.lit(None).cast("bigint").alias("fp"), F.lit(False).alias("short")))
+    # exploded where it is made: of a named column Spark would infer a filter and push it, lambdas and all, below the hashes
+    grams = worded.withColumn("h", gram_hashes("words", k)).select(*keys, F.size("words").cast("long").alias("n_words"), F.explode(entries).alias("e"))
+    each = grams.select(*keys, "n_words", "e.fp", "e.short")
+    met = each.join(F.broadcast(prints.withColumn("met", F.lit(True))), ["fp", "short"], "left")
+    return met.where(F.col("met") | F.col("fp").isNull()).select(*keys, "n_words", F.coalesce("met", F.lit(False)).alias("met"))
+
+
+def extended(worded: DataFrame, keys: list[str], windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(keys, item_id, at, n): hits of documents with a known fingerprint, extended to whole windows of n words at word `at`."""
+    def spots(m: int) -> Column:
+        keyed = F.transform(F.sequence(F.lit(0), F.size("words") - m), lambda i: F.struct(i.alias("at"), F.lit(m).alias("m"), *window_key(F.slice("words", i + 1, m))))
+        return F.when(F.size("words") >= m, keyed).otherwise(F.array().cast("array<struct<at:int,m:int,a:bigint,b:int>>"))
+
+    each = worded.select(*keys, F.explode(F.concat(*[spots(m) for m in lengths])).alias("s")).select(*keys, "s.*")
+    return each.join(F.broadcast(windows.select("item_id", "m", "a", "b").distinct()), ["m", "a", "b"]).select(*keys, "item_id", "at", F.col("m").alias("n"))
+
+
+def summarise(scan: DataFrame, real: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per document; words under several windows count once."""
+    docs = scan.groupBy(*keys).agg(F.max("n_words").alias("n_words"))
+    spots = real.select(*keys, F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct().groupBy(*keys).agg(F.count("*").alias("n_hit"))
+    items = real.select(*keys, "item_id").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    joined = docs.join(spots, keys, "left").join(items, keys, "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        real_id(), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *keys[1:],
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of whole documents inside any occurrence of a window of `size` words of a benchmark item.
 
     Winnowing: of every run of size - k + 1 k-gram hashes the smallest is a fingerprint, so each
-    shared span of `size` words shares one; hits are extended to the whole window and compared word
-    by word. An item with fewer words (but not none) is one window. A-Z are lower-cased, words are
-    [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; null has none.
+    shared span of `size` words shares one. Documents with a fingerprint of the benchmark are read
+    again, and hits are extended to whole windows, compared by two hashes (96 bits). An item
+    with fewer words (but not none) is one window. A-Z are lower-cased, words are
+    [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; null has none. Work is linear in the length of a text. A
+    benchmark of more than BLOCK_WINDOWS windows goes in blocks, so a broadcast is of bounded size.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted item_ids, comma-joined),
-    contaminated. Rows that repeat a doc_id give one row (a word position hit in any of them counts,
-    n_words is the largest); null doc_ids are one document, null item_ids no item.
+    contaminated and the columns named in `carry`, which with doc_id tell documents apart (they hold
+    no nulls). Rows that repeat these give one row (a word position hit in any of them counts,
+    n_words is the largest); null doc_ids are one document, null item_ids no item. Empty tables
+    give no rows, an empty benchmark no hits.
     """
-    windows = stored(benchmark_windows(benchmark.where(F.col(item_id).isNotNull()), size, k, item_id, item_text), "decon-windows")
-    counts = windows.agg(F.count("*").alias("n"), F.max("short").alias("short")).first()
-    worded = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_of(F.col(text)).alias("words"))
-    return summarise(stored(hits(worded, windows, counts["n"], bool(counts["short"]), size, k), "decon-hits"))
+    keys = ["doc_id", *carry]
+    rows = keyed_texts(docs, doc_id, text, carry)
+    worded = lambda df: df.select(*keys, words_of(F.col("text")).alias("words"))
+    windows = stored(benchmark_windows(benchmark, size, k, item_id, item_text), "decon-windows")
+    n = windows.count()
+    lengths = sorted(r["m"] for r in windows.select("m").distinct().collect())  # at most `size` of them
+    blocks, scan, real = max(1, -(-n // BLOCK_WINDOWS)), None, None
+    for b in range(blocks):
+        side = windows if blocks == 1 else windows.where(F.pmod("fp", F.lit(blocks)) == b)
+        prints = side.select("fp", (F.col("m") < size).alias("short")).distinct()
+        found = stored(scanned(worded(rows), keys, prints, min(lengths, default=size) < size, size, k), "decon-scan")
+        mine = stored(found.where("met").select(*keys).distinct(), "decon-candidates")
+        hits = extended(worded(rows.join(mine, keys, "left_semi")), keys, side, lengths) if lengths else mine.select(*keys, F.lit("").alias("item_id"), F.lit(0).alias("at"), F.lit(0).alias("n")).limit(0)
+        hits = stored(hits, "decon-hits")
+        discard(mine)
+        scan, real = (found, hits) if scan is None else (scan, real.unionByName(hits))
+    return summarise(scan, real, keys)
 
 
 def oracle(size: int = 10) -> str:
