@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeda.llm.shared import WORD, stored
+from sparkeda.llm.shared import WORD, discard, picked, ranked, stored
+
+#: Rows of a bucket, about.
+PER_BUCKET = 4096
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:
     """One row per source: source, n_docs, source_size, weight rank (by code point, null last)."""
     by = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    # one row per source meets here; strings compare by UTF-8 bytes, which is by code point
-    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    return ranked(by, "rank", F.col("source").asc_nulls_last())  # strings compare by UTF-8 bytes, which is by code point
 
 
 def water_fill(sources: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
@@ -40,7 +42,7 @@ def water_fill(sources: DataFrame, weights: Sequence[int], max_epochs: int) -> D
     return filled.withColumn("target", F.least(F.col("weight") * F.lit(float(level)), F.col("limit").cast("double")))
 
 
-def prefix_digits(n: Column, per_bucket: int = 4096) -> Column:
+def prefix_digits(n: Column, per_bucket: int = PER_BUCKET) -> Column:
     """Hexadecimal digits of the key that deal a source of n rows into buckets of about per_bucket rows."""
     digits = F.lit(0)
     for k in range(1, 13):
@@ -48,7 +50,7 @@ def prefix_digits(n: Column, per_bucket: int = 4096) -> Column:
     return digits
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1", doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words the mix takes of every document.
 
     Size: number of [^\\x20\\x09-\\x0D]+ in the whole text (null: 0). A source's target over its size
@@ -58,15 +60,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     the bucket's quota of words is full; the last one is taken in part. So taken words miss a target
     by less than one word a bucket, no document exceeds max_epochs times its size, and reruns agree.
 
-    Returns doc_id, size, source_size, target (its source's), taken. Documents without words take
-    none. Rows that repeat a doc_id count as documents of their own; null doc_ids share the key ''.
+    Returns doc_id, size, source_size, target (its source's), taken and the columns named in `carry`.
+    Documents without words take none. Rows that repeat a doc_id count as documents of their own; null
+    doc_ids share the key ''. Rows of a doc_id (or null) that has more than a bucket's rows are keyed
+    one by one, by the place at which their sizes were stored, so that they fill many buckets. An
+    empty table gives an empty one.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "mix-sizes")
-    sources = stored(water_fill(stored(source_sizes(sized), "mix-sources"), weights, max_epochs), "mix-targets")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = picked(docs, doc_id, text=text, source=source, **{c: c for c in carry})
+    sized = stored(rows.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("_row"), *carry), "mix-sizes")
+    by_source = stored(source_sizes(sized), "mix-sources")
+    sources = stored(water_fill(by_source, weights, max_epochs), "mix-targets")
+    discard(by_source)
+    # repeated more often than a bucket has rows: none in most tables, never more than one in PER_BUCKET rows
+    often = stored(sized.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > PER_BUCKET).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_often")), "mix-often")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if often.isEmpty():
+        keyed = sized.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), name).cast("binary")))
+    else:
+        keyed = sized.join(often, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        name = F.when(F.col("_often"), F.concat(name, F.lit(":"), F.col("_row").cast("string"))).otherwise(name)
+        keyed = keyed.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), name).cast("binary"))).drop("_id", "_often")
     # a small table read back from files: its size is known, and Spark broadcasts it only below its threshold
-    placed = sized.withColumn("key", key).join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    placed = keyed.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.withColumn("bucket", F.substring("key", F.lit(1), prefix_digits(F.col("n_docs"))))
     bucket = Window.partitionBy("source", "bucket")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -74,7 +90,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     before = F.sum("size").over(bucket.orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     quota = F.round((rate - whole) * F.sum("size").over(bucket)).cast("long")
     part = F.greatest(F.least(F.col("size"), F.col("quota") - F.col("before")), F.lit(0))
-    return placed.select("*", whole.alias("whole"), before.alias("before"), quota.alias("quota")).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+    out = placed.select("*", whole.alias("whole"), before.alias("before"), quota.alias("quota"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"), *carry)
 
 
 def oracle(weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1") -> str:
