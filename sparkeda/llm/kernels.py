@@ -36,6 +36,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_BYTE_AGAIN = mix(np.arange(1, 257, dtype=np.uint64), 11)
 
 
 def _powers(n: int, base: int, held: dict = {}) -> np.ndarray:  # noqa: B006  kept between calls on purpose
@@ -98,6 +99,11 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     return Words(data, offsets, first, start, end, h)
 
 
+def other_hashes(w: Words) -> np.ndarray:
+    """A second hash of each word, from other values of its bytes."""
+    return span_hashes(_BYTE_AGAIN[w.data], w.start, w.end, 13)
+
+
 def text_blocks(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Cut a string column (null: empty) into blocks (rows, bytes, offsets) of about BLOCK_BYTES."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,12 +1,13 @@
 """Operator 3: exact substring deduplication by level-wise doubling.
 
-Level 1 looks at windows of half the wanted length. Of those within one full window
-only the one with the smallest hash is an anchor (the first on ties), so two equal
-full windows always have equal anchors and about a quarter of all words carry one.
-Only anchors that two documents share are extended to twice the length, cut at the
-wanted length: level 2 hashes the full windows whose anchor survived, with two
-independent hashes of 96 bits, and those seen in an earlier document cover the words
-to remove. No pair of documents is ever made: each level keeps the smallest doc_id of a hash.
+Lengths double from a quarter of the wanted one (4, 8, 13 words for 13). At each length below
+the wanted one a full window is stood for by its anchor: of its windows of that length the one with
+the smallest hash. Equal full windows have equal anchors, so none is lost, and only a part of all
+words carry one. Anchors that two documents share survive; of the full windows only those whose
+anchor did are looked at in the next, doubled length, and a document without any is not read again.
+The last level hashes what is left of the full windows with two hashes (96 bits), and those seen
+in an earlier document cover the words to remove. No pair of documents is ever made: each level
+keeps the smallest doc_id of a hash.
 """
 
 from __future__ import annotations
@@ -21,19 +22,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.llm import kernels as K
+from sparkeda.llm.shared import keyed_texts, real_id
 
-NO_ID = -(2**63)
 
 
-def _anchors(w: K.Words, half: int, full: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bits of an anchor's hash. Anchors that meet by chance cost time, not results.
+ANCHOR_BITS = 48
+
+
+def lengths(size: int) -> list[int]:
+    """Lengths of the levels: a quarter of the wanted one, doubled until it is reached."""
+    out, n = [], -(-size // 4)
+    while n < size:
+        out.append(n)
+        n *= 2
+    return [*out, size]
+
+
+def _anchors(w: K.Words, length: int, full: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each full window, hash of its anchor, document of the window)."""
-    at, h = K.windows(w, half)
+    at, h = K.windows(w, length)
     rows = w.rows()
     by_word = np.zeros(len(w.hash), np.uint64)
-    by_word[at] = h
+    by_word[at] = h >> np.uint64(64 - ANCHOR_BITS)
     first = np.flatnonzero(np.arange(len(w.hash)) + full <= w.first[1:][rows]) if len(rows) else at
     least = by_word[first]
-    for k in range(1, full - half + 1):
+    for k in range(1, full - length + 1):
         least = np.minimum(least, by_word[first + k])
     return first, least, rows[first]
 
@@ -69,18 +83,28 @@ def deduplicate(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text: s
     on the input. Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space) and, with keep_text, kept_text. A null doc_id counts as the smallest; rows that repeat a
     doc_id are one document's rows for the comparison (none is earlier than the other) and each has
-    its row. Texts shorter than a window are kept. Memory: one Arrow batch and its block of text.
+    its row. Texts shorter than a window are kept, an empty table gives an empty one. Memory: one Arrow
+    batch and its block of text (a longer text is a block by itself).
     """
-    half = -(-size // 2)
-    rows_in = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for part, data, offsets in K.text_blocks(batch.column(1)):
-                first, h, row = _anchors(K.words(data, offsets, False), half, size)
-                row, h = _pairs(row, h)
-                yield pa.RecordBatch.from_arrays([pa.array(K.as_long(h)), pa.array(keys[part][row])], names=["h", "doc_id"])
+    *short, size = lengths(size)
+    rows_in = keyed_texts(docs, doc_id, text)
+
+    def anchored(length: int, before: int | None):
+        """Anchors (h, doc_id) of windows whose anchor of the level before is among the document's own (column 2)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                for part, data, offsets in K.text_blocks(batch.column(1)):
+                    w = K.words(data, offsets, False)
+                    _, h, row = _anchors(w, length, size)
+                    if before is not None:
+                        keep = _among(_anchors(w, before, size)[1], row, *_lists(batch.column(2), part))
+                        h, row = h[keep], row[keep]
+                    row, h = _pairs(row, h)
+                    yield pa.RecordBatch.from_arrays([pa.array(K.as_long(h)), pa.array(keys[part][row])], names=["h", "doc_id"])
+
+        return run
 
     def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (h, doc_id): keep those whose h two documents have. A run may be of any length."""
@@ -101,21 +125,24 @@ def deduplicate(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text: s
             last, tail = (h[-1], bool(shared[-1])), slice(len(h), None) if shared[-1] else slice(start[-1], None)
             held = (h[tail][:1], d[tail][:1])  # rows of one document in a run are alike
 
-    anchors = rows_in.mapInArrow(level1, "h long not null, doc_id long not null").repartition("h").sortWithinPartitions("h", "doc_id")
-    alive = anchors.mapInArrow(shared_runs, "h long, doc_id long not null")
-    shared = alive.groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
     texts = rows_in.repartition("doc_id")
-
-    def level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alive, before = None, None
+    for length in short:
+        source = rows_in if alive is None else texts.join(alive.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors")
+        rows = source.mapInArrow(anchored(length, before), "h long not null, doc_id long not null").repartition("h").sortWithinPartitions("h", "doc_id")
+        alive = rows.mapInArrow(shared_runs, "h long, doc_id long not null").groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
+        before = length
+
+    def whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for part, data, offsets in K.text_blocks(batch.column(1)):
                 w = K.words(data, offsets, False)
-                first, least, row = _anchors(w, half, size)
+                first, least, row = _anchors(w, before, size)
                 mine, of = _lists(wanted, part)
                 keep = _among(least, row, mine, of)
                 first, row = first[keep], row[keep]
-                h, g = K.span_hashes(w.hash, first, first + size), K.span_hashes(K.mix(w.hash, 7), first, first + size, 7)
+                h, g = K.span_hashes(w.hash, first, first + size), K.span_hashes(K.other_hashes(w), first, first + size, 7)
                 order = np.lexsort((h, row))  # a window that a document repeats is one row
                 new = np.ones(len(h), bool)
                 new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
@@ -137,7 +164,7 @@ def deduplicate(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text: s
             last = (h[-1], g[-1], low[-1])
             yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(h[keep])], names=["doc_id", "h"])
 
-    full = texts.join(shared, "doc_id").select("doc_id", "text", "anchors").mapInArrow(level2, "h long, g int, doc_id long")
+    full = texts.join(alive.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors").mapInArrow(whole_windows, "h long, g int, doc_id long")
     later = full.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id").mapInArrow(later_rows, "doc_id long not null, h long")
     later = later.groupBy("doc_id").agg(F.collect_set("h").alias("cut"))
 
@@ -173,5 +200,5 @@ def deduplicate(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cols)])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    result = texts.join(later, "doc_id", "left").select("doc_id", "text", "cut").mapInArrow(apply, schema)
-    return result.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    result = texts.join(later.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "cut").mapInArrow(apply, schema)
+    return result.withColumn("doc_id", real_id())
