@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 
 from sparkeda.llm import kernels as K
 from sparkeda.llm.graph import components
-from sparkeda.llm.shared import stored
+from sparkeda.llm.shared import NO_ID, discard, keyed_texts, real_id, stored
 
-NO_ID = -(2**63)
 #: Counters of the sketch of shingle frequencies; it only orders shingles, so errors cost time, not results.
 SKETCH_BITS = 20
 #: Bits of the filter that keeps sets of documents without a partner out of the shuffle; it has no false negatives.
@@ -90,11 +89,13 @@ def digests(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return K.as_long(K.span_hashes(values, first[:-1], first[1:], 5))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], k: int, n_carried: int = 0) -> Iterator[tuple]:
+    """(doc_ids, *carried columns, shingle hashes of all documents, first of each and the end)."""
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for part, data, offsets in K.text_blocks(batch.column(1)):
-            yield keys[part], *sets_of(K.words(data, offsets, True), k)
+            carried = [batch.column(2 + i).slice(part.start, part.stop - part.start) for i in range(n_carried)]
+            yield keys[part], *carried, *sets_of(K.words(data, offsets, True), k)
 
 
 def _pieces(table: np.ndarray) -> pa.RecordBatch:
@@ -130,21 +131,26 @@ def whole(pieces: dict[int, np.ndarray], size: int) -> np.ndarray:
 
 
 def profiles(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, dg, bits) of every document, dg naming its set, and the order of magnitude of each shingle counter."""
+    """(doc_id, n, dg, bits, carried columns) of every document, dg naming its set, and the order of magnitude of each shingle counter."""
+    carried = rows.schema.fields[2:]
+    names = ["doc_id", "n", "dg", "piece", "bytes", *(f.name for f in carried)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for keys, values, first in _blocks(batches, k):
+        kinds = None
+        for keys, *more, values, first in _blocks(batches, k, len(carried)):
             sketch += np.bincount((values & np.uint64(len(sketch) - 1)).astype(np.int64), minlength=len(sketch))
-            m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first), pa.int32()), pa.array(digests(values, first)), pa.nulls(m, pa.int32()), pa.array(parity_bits(values, first), pa.binary())], names=["doc_id", "n", "dg", "piece", "bytes"])
-        got = _pieces(np.minimum(sketch, 65535).astype("<u2"))
-        m = len(got)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), got.column(0), got.column(1)], names=["doc_id", "n", "dg", "piece", "bytes"])
-
-    both = stored(rows.mapInArrow(run, "doc_id long, n int, dg long, piece int, bytes binary"), "jaccard-profiles")
+            kinds = [c.type for c in more]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first), pa.int32()), pa.array(digests(values, first)), pa.nulls(len(keys), pa.int32()), pa.array(parity_bits(values, first), pa.binary()), *more], names=names)
+        if kinds is not None:
+            got = _pieces(np.minimum(sketch, 65535).astype("<u2"))
+            m = len(got)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), got.column(0), got.column(1), *(pa.nulls(m, t) for t in kinds)], names=names)
+
+    schema = "doc_id long, n int, dg long, piece int, bytes binary" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in carried)
+    both = stored(rows.mapInArrow(run, schema), "jaccard-profiles")
     ranks = whole(merged(both.where("piece is not null"), "<u2", "sum"), 1 << SKETCH_BITS)
-    return both.where("piece is null").select("doc_id", "n", "dg", F.col("bytes").alias("bits")), ranks
+    return both.where("piece is null").select("doc_id", "n", "dg", F.col("bytes").alias("bits"), *(f.name for f in carried)), ranks
 
 
 def memberships(rows: DataFrame, ranks, k: int, percent: int) -> DataFrame:
@@ -433,34 +439,44 @@ def linked(found: DataFrame, percent: int) -> DataFrame:
     return found.where(F.col("inter") * 100 >= F.col("total") * percent).select(F.col("p").alias("a"), F.col("x").alias("b"))
 
 
-def cluster(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cluster(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Components of the exact join: documents link when 100 * intersection >= percent * union of their sets.
 
     A document's set: distinct k-word shingles of its words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased);
     with fewer words the whole sequence as one; without words empty and linked with nothing (null
     text too). Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own
     included). Equal sets are one class from the start, so copies cost no pairs. A null doc_id
-    counts as the smallest and comes back as null; each input row has its row.
+    counts as the smallest and comes back as null; each input row has its row, also where rows repeat
+    a doc_id (their texts are then documents of their own, which share its number). An empty table gives
+    an empty one. With `carry`, these columns and group_id follow: one number for each component.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs_of, ranks = profiles(rows, k)
+    keyed = keyed_texts(docs, doc_id, text, carry)
+    rows = keyed.select("doc_id", "text")
+    docs_of, ranks = profiles(keyed, k)
     reps = stored(docs_of.where("n > 0").groupBy("dg").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-reps")
     work = stored(with_pivots(memberships(rows, spark.sparkContext.broadcast(ranks), k, percent), percent), "jaccard-work")
 
     def exact(pairs: DataFrame) -> DataFrame:
         left = stored(possible(pairs.distinct(), reps, percent), "jaccard-pairs")
-        return stored(compared(left, wanted_sets(spark, rows, reps, left, k)), "jaccard-compared")
+        sets = wanted_sets(spark, rows, reps, left, k)
+        out = stored(compared(left, sets), "jaccard-compared")
+        discard(left, sets)
+        return out
 
-    links, pairs = None, None
+    links, pairs, labels = None, None, None
     for depth in range(DEPTH):
         members = work.where(F.col("kind") == MEMBER)
         near = members.where(f"{100 + percent} * least(n - i, pn - pi) >= {percent} * (n + pn) AND 100 * least(n, pn) >= {percent} * greatest(n, pn)")
         star = exact(near.select("p", "x").unionByName(work.where(F.col("kind") == PAIR).select("p", "x")))
         links = linked(star, percent) if links is None else links.unionByName(linked(star, percent))
+        discard(labels)
         labels = components(links)
         own = members.join(labels.withColumnRenamed("node", "x"), "x", "left").select("c", "p", "x", "n", "i", F.coalesce("label", "x").alias("label"))
-        left = stored(resolved(own, percent, depth == DEPTH - 1), "jaccard-left")
+        # regions that the pivot has made one component need no task that sees them whole
+        several = stored(own.groupBy("c").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("c"), "jaccard-several")
+        left = stored(resolved(own.join(several, "c", "left_semi"), percent, depth == DEPTH - 1), "jaccard-left")
+        discard(several, work)
         found = left.where(F.col("kind") == PAIR).select("p", "x")
         pairs = found if pairs is None else pairs.unionByName(found)
         large = left.where(F.col("kind") == MEMBER)
@@ -475,7 +491,7 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_i
     links = links.unionByName(linked(exact(pairs), percent))
     labels = components(links)
     least = labels.join(reps, labels["node"] == reps["dg"]).groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = reps.join(labels.join(least, "label").select(F.col("node").alias("dg"), "component_id"), "dg", "left").select("dg", F.coalesce("component_id", "rep").alias("component_id"))
-    out = docs_of.drop("bits").join(named, "dg", "left")
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select(real("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component_id"))
+    found = labels.join(least, "label").select(F.col("node").alias("dg"), "component_id", "label")
+    named = reps.join(found, "dg", "left").select("dg", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "dg").alias("group_id"))
+    out = docs_of.drop("bits").join(named, "dg", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select(real_id(), F.col("n").cast("long").alias("n_shingles"), real_id("component_id"), *(["group_id", *carry] if carry else []))
