@@ -2,7 +2,9 @@
 
 STAGES: (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written as Parquet and read again as the next one's docs. All but the last return the columns
-of documents. Repeated doc_ids (after mixing) are rows of their own.
+of documents, with others that docs may have. Rows are told apart by doc_id and text: rows that
+repeat a doc_id (after mixing, say) with another text get verdicts of their own. Null doc_ids and
+texts are values like others, an empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -11,38 +13,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkeda.llm import decontamination, jaccard, mixing, quality, sharding
-from sparkeda.llm.shared import stored
+from sparkeda.llm.shared import NO_ID, discard, numbered, place_of, stored
 
+HASH = "text_hash"
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id (null counts as a value) is among ids; texts are neither sorted nor broadcast."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+def _named(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns by number, and the numbers of doc_id, text, lang and source."""
+    return numbered(docs), {name: f"_{place_of(docs, name)}" for name in ("doc_id", "text", "lang", "source")}
+
+
+def _told_apart(docs: DataFrame, at: dict[str, str]) -> DataFrame:
+    """docs with a hash of the text, which is the same in every row with that text."""
+    return docs.withColumn(HASH, F.xxhash64(F.col(at["text"])))
+
+
+def _without(docs: DataFrame, at: dict[str, str], gone: DataFrame) -> DataFrame:
+    """Rows of docs whose (doc_id, hash) is not among gone, a stored table.
+
+    Its size is known from its files: below Spark's threshold it is broadcast and no text is
+    moved; beyond that texts are dealt by the key and neither sorted nor broadcast.
+    """
+    size = int(str(gone._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    limit = docs.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    side = gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone"), F.col(HASH).alias("_gone_hash"))
+    side = side if size <= limit else side.hint("shuffle_hash")
+    same = (F.coalesce(F.col(at["doc_id"]), F.lit(NO_ID)) == F.col("_gone")) & (F.col(HASH) == F.col("_gone_hash"))
+    return docs.join(side, same, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go."""
-    return _only(docs, quality.judge(docs).where("kept"))
+    """Documents that the base rules or the outlier test reject go. Rows keep their texts beside them and are not shuffled."""
+    rows, at = _named(docs)
+    kept = quality.judge(rows, at["doc_id"], at["text"], at["lang"], at["source"], tuple(rows.columns)).where("kept")
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the smallest doc_id stays."""
-    return _only(docs, jaccard.cluster(docs).where("component_id <=> doc_id"))
+    """Of each component of near copies one row stays: the smallest doc_id, and of its texts the one with the smallest hash."""
+    rows, at = _named(docs)
+    rows = _told_apart(rows, at)
+    found = stored(jaccard.cluster(rows, doc_id=at["doc_id"], text=at["text"], carry=(HASH,)).where("n_shingles > 0"), "pipeline-groups")
+    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col(HASH).alias("h"))
+    first = found.groupBy("group_id").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = found.withColumn("key", key).join(first, "group_id")
+    gone = stored(later.where(F.col("key") != F.col("first")).select("doc_id", HASH).distinct(), "pipeline-gone")
+    left = _without(rows, at, gone)
+    again = later.where(F.col("key") == F.col("first")).groupBy("doc_id", HASH).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", HASH)
+    again = stored(again, "pipeline-again")
+    if not again.isEmpty():  # rows alike in doc_id and text
+        single = _without(rows, at, stored(again.unionByName(gone), "pipeline-gone"))
+        side = again.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone"), F.col(HASH).alias("_gone_hash"))
+        same = (F.coalesce(F.col(at["doc_id"]), F.lit(NO_ID)) == F.col("_gone")) & (F.col(HASH) == F.col("_gone_hash"))
+        whole = F.struct(*rows.columns)
+        one = rows.join(side, same, "left_semi").groupBy(at["doc_id"], HASH).agg(F.min(whole).alias("row")).select("row.*")
+        left = single.unionByName(one)
+    else:
+        discard(again)
+    return left.drop(HASH).toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an occurrence of a benchmark window go."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.where(~F.col("contaminated")))
+    rows, at = _named(docs)
+    rows = _told_apart(rows, at)
+    found = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=at["doc_id"], text=at["text"], carry=(HASH,))
+    gone = stored(found.where("contaminated").select("doc_id", HASH), "pipeline-gone")
+    return _without(rows, at, gone).drop(HASH).toDF(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; the last repetition counts if at least half its words are taken."""
+    rows, at = _named(docs)
+    mixed = mixing.mix(rows, doc_id=at["doc_id"], text=at["text"], source=at["source"], carry=tuple(rows.columns)).where("size > 0")
     times = F.round(F.col("taken") / F.col("size")).cast("int")
-    taken = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), times.alias("times")).where("times > 0")
-    taken = taken.dropDuplicates(["_id"])
-    joined = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    many = mixed.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return many.select(*rows.columns).toDF(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
