@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.llm import kernels as K
-from sparkeda.llm.shared import stored
+from sparkeda.llm import lbl
+from sparkeda.llm.shared import NO_ID, discard, keyed_texts, real_id, stored
 
 #: Most frequent tokens that are classes of their own, and classes of the other words by their ending.
 HEAD, TAILS = 319, 192
@@ -19,8 +21,13 @@ END_CLASS = HEAD + TAILS
 CLASSES = HEAD + TAILS + 1
 #: Bound on the most frequent words whose counts every worker holds (16 bytes each); the others meet theirs in a join.
 FREQUENT = 100_000
+#: Most frequent words that have a context vector of their own; the others share one by ending.
+INPUTS = 8191
+#: Tokens of a unit of training: what one model copy goes through before copies are averaged.
+UNIT = 2_000_000
+#: Pieces in which sums of models are added up.
+PIECES = 16
 END = np.uint64(0x9AE16A3B2F90404F)
-NO_ID = -(2**63)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -51,78 +58,126 @@ class Lookup:
         return np.where(self.keys[at] == x, self.order[at], -1)
 
 
-def sequences(w: K.Words, head: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token with an end after each document, index in `head` or -1, the end's places)."""
+@dataclass
+class Words:
+    """The most frequent words (hash, count, ending) by falling count; the first HEAD are classes, the first INPUTS inputs of their own."""
+
+    hash: np.ndarray
+    n: np.ndarray
+    ending: np.ndarray
+
+    @property
+    def n_inputs(self) -> int:
+        return min(INPUTS, len(self.hash))
+
+    @property
+    def stop(self) -> int:
+        """The input of the end of a text."""
+        return self.n_inputs + TAILS
+
+    def class_of(self) -> np.ndarray:
+        """Class of each input: words of their own, endings, the end."""
+        k = np.arange(self.n_inputs)
+        return np.concatenate([np.where(k < HEAD, k, HEAD + self.ending[: self.n_inputs]), HEAD + np.arange(TAILS), [END_CLASS]]).astype(np.int64)
+
+
+def sequences(w: K.Words, look: Lookup, n_inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(input and class of each token with an end after each document, place among the words of look or -1, the end's places)."""
     ends = w.first[1:] + np.arange(len(w.first) - 1)
-    found = np.insert(head(w.hash), w.first[1:], -1)
-    cls = np.insert(HEAD + endings(w).astype(np.int64), w.first[1:], END_CLASS)
-    cls = np.where((found >= 0) & (found < HEAD), found, cls)
-    cls[ends] = END_CLASS
-    return cls, found, ends
+    tail = endings(w).astype(np.int64)
+    found = look(w.hash)
+    ids = np.insert(np.where((found >= 0) & (found < n_inputs), found, n_inputs + tail), w.first[1:], n_inputs + TAILS)
+    cls = np.insert(np.where((found >= 0) & (found < HEAD), found, HEAD + tail), w.first[1:], END_CLASS)
+    return ids.astype(np.int16), cls, np.insert(found, w.first[1:], -1), ends
 
 
-def train(cells: np.ndarray, dims: int = 32, noise: int = 20, steps: int = 400, rate: float = 0.05, seed: int = 7) -> np.ndarray:
-    """Train on counts of (previous class, class): the exact expectation of the NCE objective over all training tokens.
+def learns(keys: np.ndarray, folds: int, fold: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(b"None" if k == NO_ID else b"%d" % k) % folds != fold for k in keys.tolist()), bool, len(keys))
 
-    score(w | c) = r_w . (C q_c) + b_w. Returns log10 probabilities: one matrix product gives all
-    scores, normalised over the classes, and each is mixed with a thousandth of the noise
-    distribution so that no class is impossible.
-    """
-    n = cells.sum()
-    own = (cells.sum(0) + 1.0) / (n + CLASSES)
-    by_context, k = cells.sum(1), float(noise)
-    rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (CLASSES, dims)), np.eye(dims), rng.normal(0, 0.1, (CLASSES, dims)), np.log(own)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    log_noise, data = np.log(k * own), cells / max(n, 1)
-    fake = k * (by_context / max(n, 1))[:, None] * own[None, :]
-    for step in range(1, steps + 1):
-        q, c, r, b = params
-        h = q @ c
-        p = 1 / (1 + np.exp(-np.clip(h @ r.T + b - log_noise, -40, 40)))
-        g = data * (1 - p) - fake * p
-        gh = g @ r
-        grads = [gh @ c.T, q.T @ gh, g.T @ h, g.sum(0)]
-        for i, grad in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * grad
-            second[i] = 0.99 * second[i] + 0.01 * grad**2
-            params[i] = params[i] + rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-12)
-        if step == steps * 3 // 4:
-            rate /= 10
-    q, c, r, b = params
-    scores = (q @ c) @ r.T + b
-    scores -= scores.max(1, keepdims=True)
-    prob = np.exp(scores)
-    prob /= prob.sum(1, keepdims=True)
-    return np.log10(0.999 * prob + 0.001 * own)
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, K.Words]]:
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        for part, data, offsets in K.text_blocks(batch.column(1)):
+            yield keys[part], K.words(data, offsets, True)
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
-    """Score all whole texts; learn from those whose crc32(doc_id as text) modulo `folds` is not `fold`.
 
-    Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. base_score: sum over tokens of
-    log10((c + 1) / (N + V + 1)) with training counts. score: sum of log10 of P(class | previous class)
-    by the log-bilinear model and of P(word | class): 1 for the HEAD most frequent words, which are
-    classes of their own, else (c + 1) / (N of the class + V of the class + 1). So it is a normalised
-    distribution in which each ending class keeps one place for words never seen.
+def training_units(rows: DataFrame, top: Words, train_tokens: int, folds: int, fold: int) -> DataFrame:
+    """(ids): the inputs of all training texts as 16-bit numbers, in units of about UNIT tokens.
 
-    All counts, of words and of neighbouring classes, are over every training token; the driver gets
-    the FREQUENT most frequent words, sums by class, and the CLASSES * CLASSES cells to train on. Other
-    words reach their counts by a join on their hash. Returns doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score. Null text is empty (the end alone); a null doc_id counts as
-    the text 'None'. Rows that repeat a doc_id give one row with the sums of all of them.
+    Texts are dealt by a hash of their own, in an order of their own, so units do not depend on how the input
+    is cut; a hot row fills several units.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    held = rows.sparkSession.sparkContext.broadcast((top.hash, top.n_inputs))
 
-    def learns(keys: np.ndarray) -> np.ndarray:
-        return np.fromiter((zlib.crc32(b"None" if k == NO_ID else b"%d" % k) % folds != fold for k in keys.tolist()), bool, len(keys))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, n_inputs = Lookup(held.value[0]), held.value[1]
+        for keys, w in blocks(batches):
+            ids, _, _, ends = sequences(w, look, n_inputs)
+            use = np.flatnonzero(learns(keys, folds, fold))
+            first = np.append(0, ends[:-1] + 1) if len(ends) else ends
+            yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array([ids[first[i] : ends[i] + 1].tobytes() for i in use], pa.binary())], names=["doc_id", "ids"])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, K.Words]]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for part, data, offsets in K.text_blocks(batch.column(1)):
-                yield keys[part], K.words(data, offsets, True)
+            for x in batch.column(1).to_pylist():
+                held.append(x)
+                size += len(x) // 2
+                if size >= UNIT:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["ids"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["ids"])
+
+    dealt = rows.mapInArrow(run, "doc_id long, ids binary").repartition(max(1, -(-train_tokens // UNIT)), F.xxhash64("doc_id", "ids")).sortWithinPartitions("doc_id", "ids")
+    return stored(dealt.mapInArrow(pack, "ids binary"), "lm-units")
+
+
+def trained(units: DataFrame, model: lbl.Model, class_of: np.ndarray, stop: int, seed: int) -> lbl.Model:
+    """The mean of copies of the model that each go through some units; sums of copies are added a piece in a task."""
+    held = units.sparkSession.sparkContext.broadcast((model, class_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, class_of = held.value
+        total = None
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                got = lbl.weighed(*lbl.train_unit(model, np.frombuffer(raw, np.int16), class_of, stop, seed))
+                total = got if total is None else total + got
+        if total is not None:
+            parts = np.array_split(total, PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["piece", "bytes"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.float64)
+                sums[piece] = sums[piece] + x if piece in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "bytes"])
+
+    schema = "piece int, bytes binary"
+    got = {r["piece"]: np.frombuffer(r["bytes"], np.float64) for r in units.mapInArrow(run, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()}
+    return lbl.averaged(model, np.concatenate([got[k] for k in range(PIECES)])) if got else model
+
+
+@dataclass
+class Fitted:
+    """All that scoring needs but the counts of rare words, which are the table `counts` (h, n)."""
+
+    top: Words
+    model: lbl.Model
+    log_mass: np.ndarray  # log10 of a class of endings' tokens and words and one
+    log_end: float
+    log_all: float
+    end_count: int
+    train_tokens: int
+    counts: DataFrame
+
+
+def fit(rows: DataFrame, folds: int = 7, fold: int = 2) -> Fitted:
+    """Counts and model from the rows (doc_id, text) whose crc32(doc_id as text) modulo `folds` is not `fold`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -135,7 +190,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             return pa.RecordBatch.from_arrays([pa.array(K.as_long(h)), pa.array(k, pa.int32()), pa.array(n)], names=["h", "k", "n"])
 
         for keys, w in blocks(batches):
-            use = learns(keys)
+            use = learns(keys, folds, fold)
             mine = np.repeat(use, w.counts)
             h, at, n = np.unique(w.hash[mine], return_index=True, return_counts=True)
             held.append((np.append(h, END), np.append(endings(w)[mine][at], TAILS).astype(np.int32), np.append(n, use.sum())))
@@ -157,38 +212,52 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             break
         least = r["bin"]
     top = words.where(F.col("bin") >= least).select("h", "n", "k").toPandas().sort_values(["n", "h"], ascending=[False, True])
-    top_hash, top_n, top_k = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["k"].to_numpy(np.int64)
+    top = Words(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["k"].to_numpy(np.int64))
     by_class = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     train_tokens, distinct = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
     end_count = by_class.get(TAILS, (0, 0))[0]
     mass = np.array([by_class.get(k, (0, 0)) for k in range(TAILS)], np.int64).reshape(TAILS, 2)
-    np.subtract.at(mass, top_k[:HEAD], np.stack([top_n[:HEAD], np.ones(len(top_n[:HEAD]), np.int64)], 1))
+    np.subtract.at(mass, top.ending[:HEAD], np.stack([top.n[:HEAD], np.ones(len(top.n[:HEAD]), np.int64)], 1))
     log_mass = np.log10(mass.sum(1) + 1.0)
-    model = spark.sparkContext.broadcast((top_hash, top_n))
+    class_counts = np.concatenate([np.pad(top.n[:HEAD], (0, HEAD - len(top.n[:HEAD]))), mass[:, 0], [end_count]])
+    units = training_units(rows, top, train_tokens, folds, fold)
+    class_of = top.class_of()
+    start = lbl.initial(len(class_of), class_counts)
+    # one unit first, so that the copies start from the same side; then every unit
+    model = trained(units.orderBy(F.crc32("ids"), "ids").limit(1), start, class_of, top.stop, 0)
+    model = trained(units, model, class_of, top.stop, 1)
+    discard(units)
+    return Fitted(top, model, log_mass, float(np.log10(end_count + 1.0)), float(np.log10(train_tokens + distinct + 1.0)), end_count, train_tokens, counts)
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = Lookup(model.value[0][:HEAD])
-        cells = np.zeros(CLASSES * CLASSES, np.int64)
-        for keys, w in blocks(batches):
-            cls, _, ends = sequences(w, head)
-            before = np.append(END_CLASS, cls[:-1])
-            mine = np.repeat(learns(keys), w.counts + 1)
-            cells += np.bincount((before * CLASSES + cls)[mine], minlength=len(cells))
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
-
-    found = rows.mapInArrow(neighbours, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cells = np.zeros(CLASSES * CLASSES)
-    cells[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
-    table = spark.sparkContext.broadcast(train(cells.reshape(CLASSES, CLASSES)).astype(np.float32))
-    log_all = float(np.log10(train_tokens + distinct + 1.0))
-    log_end = float(np.log10(end_count + 1.0))
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
+    """Score all whole texts; learn from those whose crc32(doc_id as text) modulo `folds` is not `fold`.
+
+    Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. base_score: sum over tokens of
+    log10((c + 1) / (N + V + 1)) with training counts. score: sum of log10 of P(class | the three tokens
+    before) by the log-bilinear model and of P(word | class): 1 for the HEAD most frequent words, which are
+    classes of their own, else (c + 1) / (N of the class + V of the class + 1). So it is a normalised
+    distribution in which each ending class keeps one place for words never seen.
+
+    Counts are over every training token, and the model goes through every training token, in units
+    of UNIT tokens whose model copies are averaged. The driver gets the FREQUENT most frequent words,
+    sums by class and one model. Other words reach their counts by a join on their hash. Returns
+    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null text is empty (the end
+    alone); a null doc_id counts as the text 'None'. Rows that repeat a doc_id give one row with the
+    sums of all of them; ties in frequency are ordered by hash. An empty table gives an empty one.
+    """
+    spark = docs.sparkSession
+    rows = keyed_texts(docs, doc_id, text)
+    known = fit(rows, folds, fold)
+    top, counts, end_count, train_tokens = known.top, known.counts, known.end_count, known.train_tokens
+    log_mass, log_end, log_all = known.log_mass, known.log_end, known.log_all
+    held = spark.sparkContext.broadcast((top, known.model))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, n_top, log_p = Lookup(model.value[0]), model.value[1], table.value
-        log_top = np.log10(n_top + 1.0)
+        top, model = held.value
+        look, class_of, log_top = Lookup(top.hash), top.class_of(), np.log10(top.n + 1.0)
         for keys, w in blocks(batches):
-            cls, at, ends = sequences(w, look)
+            ids, cls, at, ends = sequences(w, look, top.n_inputs)
             docs_n = len(keys)
             row = np.repeat(np.arange(docs_n), w.counts + 1)
             is_end = np.zeros(len(cls), bool)
@@ -199,7 +268,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             base = np.bincount(row, log_c, docs_n) - (w.counts + 1) * log_all
             tail = (cls >= HEAD) & ~is_end
             inside = np.where(tail, log_c - log_mass[np.where(tail, cls - HEAD, 0)], 0.0)
-            model_score = np.bincount(row, log_p[np.append(END_CLASS, cls[:-1]), cls].astype(np.float64) + inside, docs_n)
+            model_score = np.bincount(row, lbl.log10_probabilities(model, ids, class_of, top.stop) + inside, docs_n)
             known = np.bincount(row, lone, docs_n).astype(np.int64) + int(end_count > 0)
             rest = ~lone & ~is_end
             words_at = np.insert(w.hash, w.first[1:], END)[rest]
@@ -225,6 +294,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     )
     key = F.when(F.col("doc_id") == NO_ID, F.lit("None")).otherwise(F.col("doc_id").cast("string"))
     return out.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (F.crc32(key.cast("binary")) % folds == fold).alias("held_out"), "n_tokens", "n_known",
+        real_id(), (F.crc32(key.cast("binary")) % folds == fold).alias("held_out"), "n_tokens", "n_known",
         F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )

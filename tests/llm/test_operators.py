@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkeda.llm import decontamination, graph, jaccard, kernels, licences, lines, mixing, quality, scoring, sharding, substring, tokens
+from sparkeda.llm import decontamination, graph, jaccard, kernels, lbl, licences, lines, mixing, quality, scoring, sharding, substring, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -472,14 +472,82 @@ def test_scoring(docs, rows, empty, odd):
     assert scoring.score(empty).count() == 0 and scoring.score(odd).count() == 3
 
 
-def test_scores_are_a_distribution_and_learn_what_follows():
+def plain_score(known, text, keys):
+    """log10 of a text's probability, token by token, from the fitted parts; keys maps words to their hash."""
+    top, m = known.top, known.model
+    place = {int(h): i for i, h in enumerate(top.hash)}
+    ending = lambda w: int((kernels.mix(np.array([sum(x * 256**k for k, x in enumerate(w.encode()[-3:]))], np.uint64), 3) % np.uint64(scoring.TAILS))[0])
+    before, total = [top.stop] * lbl.CONTEXT, 0.0
+    for w in [*words(low(text)), None]:
+        i = place.get(keys[w], -1) if w is not None else -1
+        cls = scoring.END_CLASS if w is None else i if 0 <= i < scoring.HEAD else scoring.HEAD + ending(w)
+        h = sum(m.r[x].astype(float) @ m.c[k].astype(float) for k, x in enumerate(before))
+        s = np.array([q.astype(float) @ h + b for q, b in zip(m.q, m.b.astype(float), strict=True)])
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        total += math.log10(0.999 * p[cls] + 0.001 * m.own[cls])
+        if w is not None and cls >= scoring.HEAD:
+            total += math.log10(known_counts.get(keys[w], 0) + 1) - known.log_mass[cls - scoring.HEAD]
+        before = [top.stop if w is None else i if 0 <= i < top.n_inputs else top.n_inputs + ending(w), *before[:-1]]
+    return total
+
+
+known_counts = {}
+
+
+def test_score_is_the_models(spark, monkeypatch):
+    """The score column against a plain scorer; with enough words that classes of endings, shared inputs and rare words take part."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(r.choice([20, 600, 40_000])):x}" for _ in range(300))
+    rows = [(i, text()) for i in range(150)] + [(150, None), (151, ""), (152, "Straße W1 w1"), (153, "never seen before")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = scoring.fit(scoring.keyed_texts(docs, "doc_id", "text"))
+    assert len(known.top.hash) > scoring.INPUTS
+    known_counts.update({r["h"] % 2**64: r["n"] for r in known.counts.collect()})
+    texts = [t or "" for _, t in rows]
+    keys = {}
+    for part, data, offsets in kernels.text_blocks(pa.array(texts)):
+        w = kernels.words(data, offsets, True)
+        raw = w.data.tobytes()
+        keys |= {raw[a:b].decode(): int(h) for a, b, h in zip(w.start, w.end, w.hash, strict=True)}
+    monkeypatch.setattr(scoring, "fit", lambda *_: known)
+    got = {r["doc_id"]: r["score"] for r in scoring.score(docs).collect()}
+    for i, t in rows[-8:]:
+        assert abs(got[i] - plain_score(known, t, keys)) < 1e-4 * (len(words(t)) + 1)
+
+
+def test_model_is_a_distribution_and_uses_each_place_of_its_context():
+    """Sequences in which the token three places back decides: a model of the last token alone cannot tell."""
     rng = np.random.default_rng(1)
-    cells = rng.integers(0, 3, (scoring.CLASSES, scoring.CLASSES)).astype(float)
-    cells[np.arange(scoring.CLASSES), (np.arange(scoring.CLASSES) * 7 + 1) % scoring.CLASSES] += 2000
-    log_p = scoring.train(cells)
-    assert np.allclose((10**log_p).sum(1), 1, atol=1e-6)
-    own = np.log10(cells.sum(0) / cells.sum())
-    assert (cells * log_p).sum() > (cells * own).sum() * 0.6
+    n, stop = 60, 60
+    ids = []
+    for _ in range(600):
+        t = rng.integers(0, n, 3).tolist()
+        for _ in range(40):
+            t.append((t[-3] * 7 + 1) % n if rng.random() < 0.9 else int(rng.integers(0, n)))
+        ids += [*t, stop]
+    ids = np.array(ids, np.int16)
+    class_of = np.arange(n + 1)
+    start = lbl.initial(n + 1, np.bincount(ids, minlength=n + 1))
+    m, seen, hit = lbl.train_unit(start, ids[:-4300], class_of, stop)
+    held = ids[-4300:]
+    x = m.hidden(lbl.contexts(held, 0, len(held), stop)) @ m.q.T + m.b
+    p = np.exp(x - x.max(1, keepdims=True))
+    log_p = np.log10(0.999 * p / p.sum(1, keepdims=True) + 0.001 * m.own)
+    assert np.allclose((10**log_p).sum(1), 1, atol=1e-5)
+    assert np.allclose(log_p[np.arange(len(held)), held], lbl.log10_probabilities(m, held, class_of, stop), atol=1e-5)
+    own = np.log10(start.own)[held].mean()
+    assert lbl.log10_probabilities(m, held, class_of, stop).mean() > own + 0.3
+    one = lbl.averaged(start, lbl.weighed(m, seen, hit) + lbl.weighed(m, seen, hit))
+    assert np.allclose(one.q[hit > 0], m.q[hit > 0], atol=1e-5) and np.allclose(one.c, m.c, atol=1e-5) and np.allclose(one.r[seen == 0], start.r[seen == 0])
+
+
+def test_contexts_stop_at_the_end_of_a_text():
+    ids = np.array([5, 6, 9, 7, 9, 9], np.int16)
+    want = [[9, 9, 9], [5, 9, 9], [6, 5, 9], [9, 9, 9], [7, 9, 9], [9, 9, 9]]
+    assert lbl.contexts(ids, 0, 6, 9).tolist() == want
+    assert np.concatenate([lbl.contexts(ids, a, min(6, a + 2), 9) for a in range(0, 6, 2)]).tolist() == want
 
 
 def test_held_out_texts_are_likelier_under_the_model(spark):
@@ -489,7 +557,7 @@ def test_held_out_texts_are_likelier_under_the_model(spark):
         w = "ab" if i % 2 else "xy"
         rows.append((i, " ".join(w + str(r.randrange(30)) for _ in range(60))))
     out = scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert out[1] > out[0] * 0.9  # two halves that never mix: knowing the word before saves about a bit a word
+    assert out[1] > out[0] * 0.9  # two halves that never mix: knowing the words before saves about a bit a word
 
 
 def test_kernels_split_like_the_pattern(rows):
