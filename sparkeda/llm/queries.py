@@ -45,6 +45,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate(documents(spark, sf_dir), keep_text=False)
 
 
+def line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 with single lines of 50 words or more, and documents of one or two lines, as runs of their own."""
+    return lines.deduplicate(documents(spark, sf_dir), keep_text=False, long_words=50, whole=True)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(documents(spark, sf_dir))
 
@@ -57,7 +62,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_shards, op3_substring_dedup, op4_licence_scan, op5_source_mix, op6_decontaminate, op7_line_dedup, op8_jaccard_join, op9_quality_rules, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_shards, op3_substring_dedup, op4_licence_scan, op5_source_mix, op6_decontaminate, op7_line_dedup, op8_jaccard_join, op9_quality_rules, op10_lm_scores, line_dedup_passages)}
 
 ORACLES = {
     "op2_shards": sharding.oracle(SHARDS),
@@ -65,4 +70,5 @@ ORACLES = {
     "op5_source_mix": mixing.oracle(),
     "op6_decontaminate": decontamination.oracle(),
     "op7_line_dedup": lines.oracle(),
+    "line_dedup_passages": lines.passages_oracle(),
 }
