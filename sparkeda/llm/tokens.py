@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeda.llm.shared import fresh
+from sparkeda.llm.shared import NO_ID, fresh, keyed_texts, stored
 
 MAGIC = b"DAC1"
 RANK_EVERY = 512
@@ -125,6 +125,8 @@ class Encoder:
         if one != [parts[0] + parts[1], parts[2] + parts[3], parts[2] + parts[4], parts[3] + parts[5], parts[6] + parts[4]]:
             raise ValueError("this tokenizer does not part words at blanks or keeps case")
         self.marks = {".": parts[4], ",": parts[5]}
+        # matched by the library in the text as it stands: what is one of them in lower case alone has other ids
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable bytes stand for themselves, the others for 256, 257 .. in order
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
@@ -165,6 +167,9 @@ class Encoder:
         cores: dict[str, None] = {}
         for w in new:
             c = w.lower() if w.isascii() else w
+            if c != w and any(t in c for t in self.added):
+                cores[w] = None
+                continue
             m = c[-1:]
             if m in marks and c[-2:-1].lower().isalpha():
                 c = c[:-1]
@@ -235,14 +240,15 @@ def encode_to_files(docs: DataFrame, folder: str, vocabulary: str, end: int = 1,
 
     Returns one row per file: path, at (range partition), no (file within it), n_docs, n_tokens.
     Null or empty texts have the end id alone. A null doc_id comes first and is kept as the
-    smallest long. Rows that repeat a doc_id are kept as rows of their own, ordered by text.
+    smallest long. Rows that repeat a doc_id are kept as rows of their own, ordered by a hash of the
+    text, so that they need not meet in one task. An empty table gives no file.
     A file holds about file_bytes of text (a longer document is a file by itself), so memory
     is bounded by the longest document.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = keyed_texts(docs, doc_id, text)
+    rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -301,15 +307,13 @@ def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
                 with fs.open_input_file(at) as f:
                     keys, first, dac = unpack(f.read())
                 crc = [zlib.crc32(dac.slice(a, b).astype("<u4").tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, mask=keys == -(2**63)), "start": pa.array(start + first[:-1], pa.int64()), "n_tokens": pa.array(np.diff(first), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, mask=keys == NO_ID), "start": pa.array(start + first[:-1], pa.int64()), "n_tokens": pa.array(np.diff(first), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return located.repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, vocabulary: str, end: int = 1, folder: str | None = None, **columns: str) -> DataFrame:
     """encode_to_files and read_files in one: the files are written when this is called."""
-    from sparkeda.llm.shared import stored
-
     spark = docs.sparkSession
     folder = folder or fresh(spark, "dac")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -113,6 +114,20 @@ def test_encoder_equals_the_library():
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [x.ids + [1] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_on_added_tokens_and_whole_documents():
+    """Spellings of added tokens, and every whole text of a table, as the library encodes them."""
+    import pyarrow.parquet as pq
+
+    e = tokens.Encoder(VOCABULARY)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> x", "a<|endoftext|>b", "<|STARTOFTEXT|>.", "x<|StartOfText|>,"]
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if path.exists():
+        texts += [t or "" for t in pq.read_table(path, columns=["text"]).column(0).to_pylist()]
+    ids, first = e.encode(texts, 1)
+    want = [x.ids + [1] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
+
+
 def test_lookup_table_takes_turns():
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 101)
@@ -256,6 +271,27 @@ def test_lines(docs, rows, empty, odd):
     assert lines.deduplicate(empty).count() == 0 and lines.deduplicate(odd).count() == 5
 
 
+def test_lines_long_and_whole(spark):
+    """Single lines of many words, and documents of one or two lines, as runs; without the options none of them goes."""
+    long, two = " ".join(f"p{i}" for i in range(60)), "first short line\nsecond short line"
+    texts = [long, "intro\n" + long + "\nend", two, two, "only one", "only one", "first short line", long + "\n" + long, "a\nb\nc", "x\na\nb\nc", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in lines.deduplicate(d, long_words=50, whole=True).collect()}
+    assert got == {0: (0, long), 1: (1, "intro\nend"), 2: (0, two), 3: (2, ""), 4: (0, "only one"), 5: (1, ""), 6: (0, "first short line"), 7: (2, ""), 8: (0, "a\nb\nc"), 9: (3, "x"), 10: (0, ""), 11: (0, "")}
+    assert {r["doc_id"]: r["n_removed"] for r in lines.deduplicate(d).collect()} == {i: 3 if i == 9 else 0 for i in range(12)}
+
+
+def test_lines_put_out_fingerprints_alone(spark):
+    """Fewer than all windows leave the texts; a run around a fingerprint is found from it on both sides."""
+    r = random.Random(3)
+    t = [f"line {r.random()}" for _ in range(300)]
+    docs = spark.createDataFrame([(1, "\n".join(t)), (2, "\n".join(["own"] * 1 + t[100:160] + ["other"]))], "doc_id long, text string")
+    hashed = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
+    assert lines.fingerprints(hashed, 3).count() < 0.65 * (300 + 62)
+    got = {x["doc_id"]: x["kept_text"] for x in lines.deduplicate(docs).collect()}
+    assert got[2] == "own\nother" and got[1] == "\n".join(t)
+
+
 def shingles(t, k=5):
     w = words(low(t))
     return frozenset(tuple(w[a : a + k]) for a in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
