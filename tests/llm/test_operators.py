@@ -186,6 +186,36 @@ def test_licences(spark, empty, odd):
     assert licences.scan(empty).count() == 0 and licences.scan(odd).count() == 5
 
 
+def test_licence_places_labels_and_scores(spark):
+    """Whole, broken and repeated notices against a search for every phrase at every word."""
+    templates, r = licences.BASE + licences.OTHERS, random.Random(2)
+    texts = []
+    for t in templates:
+        w = list(t.words)
+        texts += [" ".join(w), "before it " + " ".join(w) + " after", " ".join(w[t.key : t.key + t.n_key]), " ".join(w[t.key :]), " ".join(w[: t.key + t.n_key - 1])]
+        gap = r.randrange(len(w))
+        texts.append(" ".join([*w[:gap], "else", *w[gap:]] * 2))
+    got = plain(licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    for i, text in enumerate(texts):
+        w, labels, score = text.split(), set(), 0.0
+        for t in templates:
+            for a in range(len(w) - t.n_key + 1):
+                if tuple(w[a : a + t.n_key]) == t.phrase:
+                    labels.add(t.label)
+                    score = max(score, sum(0 <= a + j - t.key < len(w) and w[a + j - t.key] == x for j, x in enumerate(t.words)) / len(t.words))
+        assert got[i][5] == ",".join(sorted(labels)) and abs(got[i][6] - score) < 1e-12
+
+
+def test_licence_index_holds_the_rarest_words_of_each_phrase():
+    templates = licences.BASE + licences.OTHERS
+    vocabulary = sorted({w for t in templates for w in t.phrase})
+    weights = {w: 1.0 / (1 + k % 17) for k, w in enumerate(vocabulary)}
+    postings, needs = licences.index(templates, weights, 2)
+    assert min(needs) >= 2 and len(postings) < len(vocabulary)
+    for k, t in enumerate(templates):
+        assert all(k * licences.SPAN - t.phrase.index(w) in postings[w] for w in sorted(t.phrase, key=lambda w: -weights[w])[:2])
+
+
 def test_mixing(docs, rows, empty, odd):
     size = {i: len(words(t)) for i, t, *_ in rows}
     by = defaultdict(int)
