@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,62 @@ def backward_steps(rows: DataFrame, order: str, value: str, width: int = 1_000_0
     return inside.join(F.broadcast(edge)).select((F.col("n") + F.col("m")).alias("n_backward"))
 
 
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, x, n): how often each finite value of column number i occurs; one scan and one shuffle for all columns."""
+    from sparkeda.functions.columns import finite
+
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), finite(F.col(f"`{c}`")).alias("x")) for i, c in enumerate(columns)])
+    return df.select(F.inline(cells)).where("x IS NOT NULL").groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantile_table(counts: DataFrame, shares: list[float], parts: int = 64) -> dict[int, list[float | None]]:
+    """Exact quantiles with linear interpolation of each column in value_counts(), by column number.
+
+    Approximate quantiles cut each column into ranges. The driver sees the rows of each range (parts for each
+    column), so it knows in which ranges the wanted places lie; the values of these alone are put in order.
+    """
+    counts = counts.persist()
+    cuts = {r["i"]: sorted(set(r["c"])) for r in counts.groupBy("i").agg(F.percentile_approx("x", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 1000).alias("c")).collect()}
+    if not cuts:
+        counts.unpersist()
+        return {}
+    part = None
+    for i, c in cuts.items():
+        found = F.size(F.filter(F.array(*[F.lit(float(v)) for v in c]), lambda e: e < F.col("x")))
+        part = F.when(F.col("i") == i, found) if part is None else part.when(F.col("i") == i, found)
+    dealt = counts.withColumn("p", part)
+    places: dict[int, dict[int, tuple[int, int]]] = {}  # column -> place in the order -> (range, rows before the range)
+    totals: dict[int, list[tuple[int, int]]] = {}
+    for r in sorted(dealt.groupBy("i", "p").agg(F.sum("n").alias("s")).collect()):
+        totals.setdefault(r["i"], []).append((r["p"], r["s"]))
+    for i, ranges in totals.items():
+        n, before = sum(s for _, s in ranges), 0
+        wanted = {int(f((n - 1) * p)) for p in shares for f in (math.floor, math.ceil)}
+        places[i] = {}
+        for p, s in ranges:
+            places[i] |= {w: (p, before) for w in wanted if before <= w < before + s}
+            before += s
+    keys = sorted({(i, p) for i, at in places.items() for p, _ in at.values()})
+    kept = dealt.where(F.struct("i", "p").isin([F.struct(F.lit(i), F.lit(p)) for i, p in keys]))
+    cum = kept.withColumn("cum", F.sum("n").over(Window.partitionBy("i", "p").orderBy("x")))
+    spots = [(i, w, p, before) for i, at in places.items() for w, (p, before) in at.items()]
+    got = cum.agg(*[F.min(F.when((F.col("i") == i) & (F.col("p") == p) & (F.col("cum") > w - before), F.col("x"))).alias(f"v{k}") for k, (i, w, p, before) in enumerate(spots)]).first()
+    counts.unpersist()
+    value = {(i, w): got[f"v{k}"] for k, (i, w, _, _) in enumerate(spots)}
+    out = {}
+    for i, ranges in totals.items():
+        n = sum(s for _, s in ranges)
+        ends = [((n - 1) * p, value[i, math.floor((n - 1) * p)], value[i, math.ceil((n - 1) * p)]) for p in shares]
+        out[i] = [a + (b - a) * (at - math.floor(at)) for at, a, b in ends]
+    return out
+
+
+def column_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> list[list[float | None]]:
+    """Exact quantiles of several columns' finite values, in their order; None where a column has none."""
+    found = quantile_table(value_counts(df, columns), shares)
+    return [found.get(i, [None] * len(shares)) for i in range(len(columns))]
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float], round_to: int | None = None) -> DataFrame:
     """One row (n, q): exact quantiles with linear interpolation of finite values, from cumulated counts of distinct values.
 
@@ -60,3 +118,20 @@ def quantiles(df: DataFrame, column: str, shares: list[float], round_to: int | N
         v = F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (at - F.floor(at))
         q.append(v if round_to is None else F.round(v, round_to))
     return got.select("n", F.array(*q).alias("q"))
+
+
+def row_index(df: DataFrame, name: str) -> DataFrame:
+    """df with the number of each row, from 0 in the order of its partitions, frozen: later plans see the same numbers.
+
+    Kept by a checkpoint where the session has a folder for one, else (local runs) by persisting.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    marked = df.withColumn("_m", F.monotonically_increasing_id())
+    marked = marked.checkpoint() if spark.sparkContext.getCheckpointDir() else marked.persist()
+    # within a partition this id counts from the first row; the partition's number stands above bit 33
+    sizes = marked.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    both = marked.join(F.broadcast(sizes), F.shiftright("_m", 33) == F.col("_p"))
+    return both.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_before")

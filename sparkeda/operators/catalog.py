@@ -6,57 +6,56 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkeda.functions.columns import adjusted_kurtosis, adjusted_skew, columns_of, family, finite, normalise
+from sparkeda.functions.ordered import column_quantiles
 
-#: Columns of one aggregate: each exact distinct count multiplies the rows it shuffles.
-CHUNK = 25
 
-
-def semantic_type(kind: str, n_distinct: Column, n_values: Column) -> Column:
+def semantic_type(kind: Column, n_distinct: Column, n_values: Column) -> Column:
     """boolean, datetime, numeric by type; strings are categorical with at most 50 values, or 200 that are at most 5 %."""
-    if kind in ("boolean", "datetime", "numeric"):
-        return F.lit(kind)
-    return F.when((n_distinct <= 50) | ((n_distinct <= 200) & (n_distinct <= 0.05 * n_values)), "categorical").otherwise("text")
-
-
-def role(name: str, kind: str, semantic: Column, unique_rate: Column, n_missing: Column) -> Column:
-    low = name.lower()
-    out = []
-    if kind == "datetime" or any(t in low for t in ("date", "time", "timestamp")):
-        out.append(F.lit("timestamp_candidate"))
-    if low == "id" or low.endswith("_id") or "identifier" in low:
-        out.append(F.when((unique_rate >= 0.98) & (n_missing == 0), "identifier_candidate"))
-    if kind == "numeric":
-        out.append(F.lit("measure_candidate"))
-    out.append(F.when(semantic.isin("categorical", "boolean"), "dimension_candidate"))
-    out.append(F.when(semantic == "text", "free_text_candidate"))
+    return F.when(kind.isin("boolean", "datetime", "numeric"), kind).when((n_distinct <= 50) | ((n_distinct <= 200) & (n_distinct <= 0.05 * n_values)), "categorical").otherwise("text")
+
+
+def roles(low: Column, kind: Column, semantic: Column, unique_rate: Column, n_missing: Column) -> Column:
+    """Roles by lower-case name, type and facts, comma-joined."""
+    out = [
+        F.when((kind == "datetime") | low.contains("date") | low.contains("time"), "timestamp_candidate"),
+        F.when(((low == "id") | low.endswith("_id") | low.contains("identifier")) & (unique_rate >= 0.98) & (n_missing == 0), "identifier_candidate"),
+        F.when(kind == "numeric", "measure_candidate"),
+        F.when(semantic.isin("categorical", "boolean"), "dimension_candidate"),
+        F.when(semantic == "text", "free_text_candidate"),
+    ]
     return F.concat_ws(",", F.array_compact(F.array(*out)))
 
 
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """(i, n_values, n_distinct) of every column, NULL excluded, from one long table of values with partial counts.
+
+    A value's text stands for it; -0.0 is 0.0, as when grouping.
+    """
+    text = [(F.col(f"`{f.name}`") + F.lit(0.0) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`")) if family(f.dataType) != "nested" else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema]
+    missing = [F.col(f"`{c}`").isNull() for c in df.columns]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(~m, t.cast("string")).alias("v")) for i, (t, m) in enumerate(zip(text, missing, strict=True))])
+    counts = df.select(F.inline(cells)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("i").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"), F.count("v").alias("n_distinct"))
+
+
 def column_catalog(df: DataFrame, table: str) -> DataFrame:
-    """One row per column, from one aggregate for each CHUNK columns.
+    """One row per column, from one scan whatever the number of columns.
 
     Returns table, column, kind, n_rows, n_missing, missing_rate, n_distinct (NULL excluded),
     unique_rate, semantic_type, roles, warnings.
     """
     df = normalise(df)
-    parts = []
-    for at in range(0, len(df.columns), CHUNK):
-        names = df.columns[at : at + CHUNK]
-        agg = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"v{i}") for i, c in enumerate(names)], *[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(names)])
-        facts = []
-        for i, c in enumerate(names):
-            kind, n, v, d = family(df.schema[c].dataType), F.col("n"), F.col(f"v{i}"), F.col(f"d{i}")
-            unique, sem = F.coalesce(F.try_divide(d, v), F.lit(0.0)), semantic_type(kind, d, v)
-            missing = F.coalesce(F.try_divide(n - v, n), F.lit(0.0))
-            warnings = F.concat_ws(",", F.array_compact(F.array(F.when(missing >= 0.5, "mostly_missing"), F.when((d <= 1) & (v > 0), "constant"), F.when((sem == "categorical") & (d > 100), "high_cardinality"))))
-            facts.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), n.alias("n_rows"), (n - v).alias("n_missing"), F.round(missing, 6).alias("missing_rate"), d.alias("n_distinct"), F.round(unique, 6).alias("unique_rate"), sem.alias("semantic_type"), role(c, kind, sem, unique, n - v).alias("roles"), warnings.alias("warnings")))
-        parts.append(agg.select(F.inline(F.array(*facts))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.lit(table).alias("table"), "*")
+    kinds = df.sparkSession.createDataFrame([(i, f.name, family(f.dataType), f.name.lower()) for i, f in enumerate(df.schema)], "i int, `column` string, kind string, low string")
+    counted = F.broadcast(kinds).join(distinct_counts(df), "i", "left").na.fill(0, ["n_rows", "n_values", "n_distinct"]) if df.columns else kinds.selectExpr("*", "0L AS n_rows", "0L AS n_values", "0L AS n_distinct")
+    n, v, d, kind = F.col("n_rows"), F.col("n_values"), F.col("n_distinct"), F.col("kind")
+    unique, missing = F.coalesce(F.try_divide(d, v), F.lit(0.0)), F.coalesce(F.try_divide(n - v, n), F.lit(0.0))
+    out = counted.withColumn("semantic_type", semantic_type(kind, d, v))
+    sem = F.col("semantic_type")
+    warnings = F.concat_ws(",", F.array_compact(F.array(F.when(missing >= 0.5, "mostly_missing"), F.when((d <= 1) & (v > 0), "constant"), F.when((sem == "categorical") & (d > 100), "high_cardinality"))))
+    return out.select(F.lit(table).alias("table"), "column", "kind", "n_rows", (n - v).alias("n_missing"), F.round(missing, 6).alias("missing_rate"), "n_distinct", F.round(unique, 6).alias("unique_rate"), "semantic_type", roles(F.col("low"), kind, sem, unique, n - v).alias("roles"), warnings.alias("warnings"))
 
 
 def table_catalog(df: DataFrame, table: str) -> DataFrame:
@@ -76,10 +75,12 @@ def numeric_statistics(df: DataFrame, columns: list[str] | None = None) -> DataF
     cells = []
     for i, c in enumerate(columns):
         x, n = F.col(f"`{c}`"), F.count(f"`{c}`")
-        cells.append(F.struct(F.lit(c).alias("column"), n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.percentile(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q"), adjusted_skew(x, n).alias("skew"), adjusted_kurtosis(x, n).alias("kurtosis"), F.count_if(x == 0).alias("n_zero"), F.count_if(x < 0).alias("n_negative"), F.count(F.col(f"`{c}\u0001inf`")).alias("n_infinite")))
+        cells.append(F.struct(F.lit(c).alias("column"), n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), adjusted_skew(x, n).alias("skew"), adjusted_kurtosis(x, n).alias("kurtosis"), F.count_if(x == 0).alias("n_zero"), F.count_if(x < 0).alias("n_negative"), F.count(F.col(f"`{c}\u0001inf`")).alias("n_infinite")))
     rows = clean.agg(*[c.alias(f"s{i}") for i, c in enumerate(cells)]).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
+    marks = column_quantiles(df, columns, [0.05, 0.25, 0.5, 0.75, 0.95])
+    marks = df.sparkSession.createDataFrame([(c, *q) for c, q in zip(columns, marks, strict=True)], "column string, " + ", ".join(f"{p} double" for p in ("p5", "q1", "median", "q3", "p95")))
     r = lambda c: F.round(c, 4).alias(c)
-    return rows.select("column", "n", r("min"), r("max"), r("mean"), r("std"), *[F.round(F.col("q")[i], 4).alias(p) for i, p in enumerate(("p5", "q1", "median", "q3", "p95"))], r("skew"), r("kurtosis"), "n_zero", "n_negative", "n_infinite")
+    return rows.join(F.broadcast(marks), "column").select("column", "n", r("min"), r("max"), r("mean"), r("std"), *[r(p) for p in ("p5", "q1", "median", "q3", "p95")], r("skew"), r("kurtosis"), "n_zero", "n_negative", "n_infinite")
 
 
 def datetime_statistics(df: DataFrame, column: str) -> DataFrame:

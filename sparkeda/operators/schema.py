@@ -57,8 +57,8 @@ def key_metrics(df: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:
     return got.select(F.inline(F.array(*rows)))
 
 
-def key_candidates(df: DataFrame, table: str, max_columns: int = 2, min_uniqueness: float = 0.98, min_completeness: float = 0.98, limit: int = 12) -> list[dict]:
-    """Level-wise search: one aggregate a width, supersets of keys found are left out."""
+def key_candidates(df: DataFrame, table: str, max_columns: int = 2, min_uniqueness: float = 0.98, min_completeness: float = 0.98, limit: int | None = None) -> list[dict]:
+    """Level-wise search: one aggregate a width, supersets of keys found are left out. All columns take part; `limit` keeps the likeliest."""
     counts = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(df.columns)], *[F.count(c).alias(f"v{i}") for i, c in enumerate(df.columns)]).first()
     ranked = sorted(((-(counts[f"d{i}"] / counts[f"v{i}"]) - c.lower().endswith("_id"), c) for i, c in enumerate(df.columns) if counts[f"d{i}"] > 1))
     names, found = [c for _, c in ranked[:limit]], []
@@ -112,28 +112,41 @@ def orphans(parent: DataFrame, parent_column: str, child: DataFrame, child_colum
     return child.where(F.col(child_column).isNotNull()).join(keys, F.col(child_column) == F.col("_k"), "left_anti")
 
 
+def likely_children(parent: DataFrame, table: str, key: tuple[str, ...], child: DataFrame, min_kind: float = 0.75, min_name: float = 0.2) -> list[tuple[tuple[str, ...], float, float]]:
+    """(columns, name similarity, type compatibility) of every set of child columns that may refer to the key, each in its best order."""
+    able = [f.name for f in child.schema if family(f.dataType) != "nested"]
+    out = []
+    for group in combinations(able, len(key)):
+        rated = [(name_similarity(table, key, cols), type_compatibility(parent, key, child, cols), cols) for cols in permutations(group)]
+        same, kind, cols = max(rated, key=lambda r: r[0] + r[1])
+        if kind >= min_kind and same >= min_name:
+            out.append((cols, same, kind))
+    return out
+
+
 def relationship_candidates(tables: dict[str, DataFrame], keys: list[dict], min_inclusion: float = 0.9, min_confidence: float = 0.72) -> list[dict]:
-    """Every key against columns of other tables whose types and names allow it; metrics are exact."""
+    """Every key against every set of columns of other tables whose types and names allow it, so a table may refer
+    to one key several times (a billing and a shipping customer). Metrics are exact: one job for each
+    key and child table, whatever the number of column sets."""
     out = []
     for key in keys:
         parent, cols = tables[key["table"]], tuple(key["key"].split(","))
         for name, child in tables.items():
-            if name == key["table"]:
-                continue
-            best = max(((name_similarity(key["table"], cols, p) + type_compatibility(parent, cols, child, p), p) for group in combinations(child.columns, len(cols)) for p in permutations(group)), default=None)
-            if best is None:
-                continue
-            kid, kind, same = best[1], type_compatibility(parent, cols, child, best[1]), name_similarity(key["table"], cols, best[1])
-            if kind < 0.75 or same < 0.2:
-                continue
-            m = relationship_metrics(parent, cols, child, kid).first().asDict()
-            one_to_one = m["child_uniqueness"] >= 1
-            effective = m["inclusion"]
-            if not one_to_one and same < 0.6:
-                effective *= min(1.0, m["child_keys"] / max(1, m["child_keys"] + m["unreferenced_parents"]))
-            confidence = 0.5 * effective + 0.18 * kind + 0.17 * same + 0.15 * key["confidence"]
-            if m["inclusion"] >= min_inclusion and confidence >= min_confidence and not (one_to_one and same < 0.6):
-                out.append(m | {"parent": key["table"], "parent_key": key["key"], "child": name, "child_key": ",".join(kid), "confidence": round(confidence, 6), "cardinality": "one_to_one" if one_to_one else "one_to_many"})
+            likely = [] if name == key["table"] else likely_children(parent, key["table"], cols, child)
+            both = None
+            for i, (kid, _, _) in enumerate(likely):
+                one = relationship_metrics(parent, cols, child, kid).withColumn("i", F.lit(i))
+                both = one if both is None else both.unionByName(one)
+            for m in sorted(both.collect(), key=lambda r: r["i"]) if likely else []:
+                kid, same, kind = likely[m["i"]]
+                one_to_one = m["child_uniqueness"] >= 1
+                effective = m["inclusion"]
+                if not one_to_one and same < 0.6:
+                    effective *= min(1.0, m["child_keys"] / max(1, m["child_keys"] + m["unreferenced_parents"]))
+                confidence = min(1.0, 0.5 * effective + 0.18 * kind + 0.17 * same + 0.15 * key["confidence"])
+                if m["inclusion"] >= min_inclusion and confidence >= min_confidence and not (one_to_one and same < 0.6):
+                    facts = {k: v for k, v in m.asDict().items() if k != "i"}
+                    out.append(facts | {"parent": key["table"], "parent_key": key["key"], "child": name, "child_key": ",".join(kid), "confidence": round(confidence, 6), "cardinality": "one_to_one" if one_to_one else "one_to_many"})
     return out
 
 

@@ -62,9 +62,16 @@ def fk_graph_roles(spark, sf_dir):
     return op.graph_roles(edges, tables)
 
 
-@query()
+@query(
+    "WITH a AS (SELECT count(DISTINCT o_custkey) AS k, count(DISTINCT o_custkey) FILTER (o_custkey IN (SELECT c_custkey FROM customer)) AS m FROM orders), "
+    "b AS (SELECT count(DISTINCT n) AS k, count(DISTINCT n) FILTER (n IN (SELECT c_custkey FROM customer)) AS m FROM (SELECT (o_custkey * 7) % 100 + 1 AS n FROM orders)) "
+    "SELECT 'customers' AS parent, 'customer_id' AS parent_key, 'orders' AS child, 'customer_id' AS child_key, round(m / k::DOUBLE, 6) AS inclusion, round(.5 * m / k + .18 + .17 + .15, 6) AS confidence, 'one_to_many' AS cardinality FROM a "
+    "UNION ALL SELECT 'customers', 'customer_id', 'orders', 'ship_customer_id', round(m / k::DOUBLE, 6), round(.5 * m / k + .18 + .17 * (2 / 3) + .15, 6), 'one_to_many' FROM b"
+)
 def relationship_search(spark, sf_dir):
-    named = {"customers": table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "customer_id"), "orders": table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "order_id", "o_custkey": "customer_id"})}
+    """Orders refer to one key of customers by two columns."""
+    orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "order_id", "o_custkey": "customer_id"}).withColumn("ship_customer_id", F.expr("(customer_id * 7) % 100 + 1"))
+    named = {"customers": table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "customer_id").drop("c_nationkey"), "orders": orders}
     keys = [k for n, df in named.items() for k in op.key_candidates(df, n, 1)]
     rows = [(r["parent"], r["parent_key"], r["child"], r["child_key"], r["inclusion"], r["confidence"], r["cardinality"]) for r in op.relationship_candidates(named, keys)]
     return spark.createDataFrame(rows, "parent string, parent_key string, child string, child_key string, inclusion double, confidence double, cardinality string")
