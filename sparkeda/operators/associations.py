@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import edge_bin, finite
-from sparkeda.functions.ordered import backward_steps, running
+from sparkeda.functions.ordered import backward_steps, column_quantiles, running
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -65,14 +65,29 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     return running(c, column, "n").select(column, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
 
 
-def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Spearman correlation of complete rows of all the columns: ranks joined back by value, then Pearson."""
-    x = df.select(*[finite(c).alias(c) for c in columns]).dropna()
+def _ranked_pearson(x: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlations of the ranks of rows without NULLs: ranks are joined back by value."""
     out = x
     for c in columns:
         out = out.join(average_ranks(x, c, f"rank_{c}"), c)
-    ranks = out.select(*[F.col(f"rank_{c}").alias(c) for c in columns])
-    return pearson(ranks, columns).withColumnRenamed("r", "rho")
+    return pearson(out.select(*[F.col(f"rank_{c}").alias(c) for c in columns]), columns).withColumnRenamed("r", "rho")
+
+
+def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Spearman correlation of each pair over the rows in which both are there.
+
+    Columns without a NULL are ranked once for all their pairs; a pair with NULLs has ranks of its own.
+    """
+    x = df.select(*[finite(c).alias(c) for c in columns])
+    holes = x.agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    full = [c for i, c in enumerate(columns) if not holes[f"m{i}"]]
+    parts = [_ranked_pearson(x.select(*full), full)] if len(full) > 1 else []
+    for i, a in enumerate(columns):
+        parts += [_ranked_pearson(x.select(a, b).dropna(), [a, b]) for b in columns[i + 1 :] if a not in full or b not in full]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def association_matrix(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -87,7 +102,8 @@ def association_matrix(df: DataFrame, numeric: list[str], categorical: list[str]
 
 def quantile_edges(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """One row: `edges`, strictly increasing quantiles."""
-    return df.agg(F.array_distinct(F.percentile(finite(column), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    marks = column_quantiles(df, [column], [i / bins for i in range(bins + 1)])[0]
+    return df.sparkSession.createDataFrame([(sorted({m for m in marks if m is not None}),)], "edges array<double>")
 
 
 def binned_eta_squared(df: DataFrame, feature: str, target: str, bins: int = 10) -> DataFrame:
@@ -99,7 +115,6 @@ def binned_eta_squared(df: DataFrame, feature: str, target: str, bins: int = 10)
 
 
 
-
 def rule_accuracy(df: DataFrame, feature: str, target: str) -> DataFrame:
     """Accuracy of predicting a row's most frequent target by its feature value: n, n_values, accuracy."""
     cells = contingency(df, feature, target)

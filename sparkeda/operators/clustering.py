@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import finite
+from sparkeda.functions.ordered import column_quantiles
 from sparkeda.operators.catalog import seeded_sample
 
 
@@ -27,8 +28,8 @@ def feature_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
 def matrix(df: DataFrame, key: str, columns: list[str], scale: bool = True) -> DataFrame:
     """key and the columns: rows without any value go, NULLs become the median, then zero mean and unit population deviation."""
     x = df.select(key, *[finite(c).alias(c) for c in columns]).where(" OR ".join(f"{c} IS NOT NULL" for c in columns))
-    med = x.agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in columns])
-    full = x.join(F.broadcast(med)).select(key, *[F.coalesce(c, f"m_{c}").alias(c) for c in columns])
+    med = [q[0] for q in column_quantiles(x, columns, [0.5])]
+    full = x.select(key, *[F.coalesce(c, F.lit(m)).alias(c) for c, m in zip(columns, med, strict=True)])
     if not scale:
         return full
     facts = full.agg(*[F.avg(c).alias(f"a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import columns_of, equal_bin, finite
+from sparkeda.functions.ordered import column_quantiles
 
 
 def common_columns(base: DataFrame, other: DataFrame) -> tuple[list[str], list[str]]:
@@ -26,8 +27,9 @@ def numeric_histograms(base: DataFrame, other: DataFrame, column: str, bins: int
 
 def numeric_summary(df: DataFrame, column: str, side: str) -> DataFrame:
     x = finite(F.col(column).try_cast("double"))
-    got = df.agg(F.count(x).alias("n"), (F.count(F.lit(1)) - F.count(x)).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.percentile(x, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
-    return got.select(F.lit(side).alias("side"), "n", "missing", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), *[F.round(F.col("q")[i], 4).alias(k) for i, k in enumerate(("min", "q1", "median", "q3", "max"))])
+    got = df.agg(F.count(x).alias("n"), (F.count(F.lit(1)) - F.count(x)).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+    marks = column_quantiles(df.select(x.alias("x")), ["x"], [0.0, 0.25, 0.5, 0.75, 1.0])[0]
+    return got.select(F.lit(side).alias("side"), "n", "missing", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), *[F.round(F.lit(q).cast("double"), 4).alias(k) for k, q in zip(("min", "q1", "median", "q3", "max"), marks, strict=True)])
 
 
 def category_counts(base: DataFrame, other: DataFrame, column: str, top: int = 15) -> DataFrame:

@@ -32,13 +32,15 @@ DATE_LAYOUTS = (
 CELL_TYPES = (("boolean", r"^(?i)(true|false)$"), ("integer", r"^[+-]?\d+$"), ("float", r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"), ("date", r"^\d{4}-\d{1,2}-\d{1,2}"))
 
 
-def case_variants(df: DataFrame, column: str, max_distinct: int = 500) -> DataFrame:
-    """Labels that differ only in case or white space at the ends: label, n_forms, n_rows, n_padded. None if the column has more than max_distinct values."""
+def case_variants(df: DataFrame, column: str, max_distinct: int | None = None) -> DataFrame:
+    """Labels that differ only in case or white space at the ends: label, n_forms, n_rows, n_padded; with max_distinct, none if the column has more values."""
     c = F.col(column)
     forms = df.where(c.isNotNull()).groupBy(c.alias("raw")).agg(F.count(F.lit(1)).alias("n")).withColumn("label", folded("raw"))
     groups = forms.groupBy("label").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n").alias("n_rows"), F.sum(F.when(stripped("raw") != F.col("raw"), F.col("n")).otherwise(0)).alias("n_padded"))
-    few = forms.agg((F.count(F.lit(1)) <= max_distinct).alias("few"))  # one row
     kept = groups.where((F.col("n_forms") > 1) & ~F.col("label").isin(*MISSING_TOKENS))
+    if max_distinct is None:
+        return kept
+    few = forms.agg((F.count(F.lit(1)) <= max_distinct).alias("few"))  # one row
     return kept.join(F.broadcast(few)).where("few").drop("few")
 
 
@@ -124,12 +126,12 @@ def structural_issues(columns: list[str]) -> list[tuple[str, str]]:
     return out + [(c, "duplicate_header") for c in columns if (m := re.match(r"^(.+)\.\d+$", c)) and m[1] in names]
 
 
-def aliased_columns(df: DataFrame, max_columns: int = 250) -> DataFrame:
+def aliased_columns(df: DataFrame) -> DataFrame:
     """Pairs of columns of one kind that are equal in every row (NULL equals NULL).
 
     First a checksum of each column in one aggregate, then exact comparison of the pairs that agree.
     """
-    names = df.columns[:max_columns] if len(df.columns) <= max_columns else []
+    names = df.columns
     schema = "first string, second string, n_rows long"
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], schema)

@@ -123,16 +123,17 @@ def logistic_probe(df: DataFrame, target: str, features: list[str], key: str, fo
     return df.sparkSession.createDataFrame([out], "n long, accuracy double, balanced_accuracy double, macro_f1 double, majority double, lift double")
 
 
-def neighbour_disagreement(df: DataFrame, key: str, vector: str, label: str, k: int = 9, budget: int = 2000, seed: int = 42) -> DataFrame:
-    """Share of the k nearest neighbours with another label, on a seeded sample of at most `budget` rows."""
-    from sparkeda.operators.catalog import seeded_sample
-
-    x = seeded_sample(df.where(F.col(label).isNotNull()).select(key, label, F.col(vector).cast("array<double>").alias("v")), budget, [key], seed)
-    a = x.select(F.col(key).alias("i"), F.col("v").alias("vi"), F.col(label).alias("li"))
-    b = x.select(F.col(key).alias("j"), F.col("v").alias("vj"), F.col(label).alias("lj"))
-    d = a.join(F.broadcast(b), F.col("i") != F.col("j")).select("i", "j", "li", "lj", F.aggregate(F.zip_with("vi", "vj", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t).alias("d"))
-    near = d.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
-    return near.groupBy(F.col("i").alias(key)).agg(F.round(F.avg((F.col("li") != F.col("lj")).cast("int")), 6).alias("disagreement"))
+def neighbour_disagreement(df: DataFrame, key: str, vector: str, label: str, k: int = 9) -> DataFrame:
+    """Share of the k nearest neighbours with another label, of every row among all rows (ties by key); in pairs of blocks."""
+    from sparkeda.operators.clustering import nearest
+
+    x = df.where(F.col(label).isNotNull()).select(key, label, F.col(vector).cast("array<double>").alias("v"))
+    dims = x.agg(F.max(F.size("v"))).first()[0] or 0
+    cols = [f"v{j}" for j in range(dims)]
+    near = nearest(x.select(key, *[F.get("v", F.lit(j)).alias(c) for j, c in enumerate(cols)]), key, cols, k)
+    own, other = x.select(F.col(key).alias("i"), F.col(label).alias("li")), x.select(F.col(key).alias("j"), F.col(label).alias("lj"))
+    both = near.join(own, "i").join(other, "j")
+    return both.groupBy(F.col("i").alias(key)).agg(F.round(F.avg((F.col("li") != F.col("lj")).cast("int")), 6).alias("disagreement"))
 
 
 def target_quantiles(df: DataFrame, target: str) -> DataFrame:
