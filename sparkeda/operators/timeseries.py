@@ -100,7 +100,7 @@ def composition(df: DataFrame, timestamp: str, entity: str, unit: str = "day") -
 
 def panel(df: DataFrame, timestamp: str, entity: str, unit: str = "day") -> DataFrame:
     """Of each entity: rows, periods with a row, periods between its ends, coverage."""
-    seconds = {"hour": 3600, "day": 86400, "week": 604800}[unit]
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2629746, "quarter": 7889238, "year": 31556952}[unit]
     p = F.date_trunc(unit, F.col(timestamp))
     by = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(p).alias("n_periods"), ((F.unix_seconds(F.max(p).cast("timestamp")) - F.unix_seconds(F.min(p).cast("timestamp"))) / seconds + 1).cast("long").alias("expected"))
     return by.withColumn("coverage", F.round(F.col("n_periods") / F.col("expected"), 6))

@@ -6,6 +6,7 @@ Each optional stage is isolated: one that fails is recorded and the others go on
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import columns_of, family
+from sparkeda.functions.ordered import row_index
 from sparkeda.model import AnalysisResult, Artifact, Evidence, Finding, SamplingRecord, Step, Warning_, emit, sort_findings, split_findings
 from sparkeda.operators import anomaly as an
 from sparkeda.operators import associations as assoc
@@ -173,6 +175,9 @@ def _distributions(run: Run, df: DataFrame, t: dict, cap: int) -> None:
         col = c["column"]
         if c["kind"] == "numeric":
             run.evidence("profile_distribution", {"shape": dist.shape(df, col).first(), "box": dist.box(df, col).first(), "modality": dist.modality_gap(df, col).first(), "histogram": rows(dist.histogram(df, col, min(24, max(6, c["n_rows"] // 2))))}, name, (col,), "histogram_moments")
+            fit = run.stage("family_fit", name, lambda col=col: rows(dist.family_fit(df, col))) if c["n_distinct"] >= 20 else None
+            if fit:
+                run.evidence("profile_distribution_family", fit, name, (col,), "kolmogorov_smirnov", 0.7)
         elif c["semantic_type"] in ("categorical", "boolean"):
             freq = rows(dist.category_frequency(df, col))
             ev = run.evidence("profile_category_frequency", freq, name, (col,), "value_counts")
@@ -254,8 +259,23 @@ def _one_table(run: Run, tables, table: str | None, column: str | None, goal: st
 
 
 def _keyed(df: DataFrame) -> tuple[DataFrame, str]:
-    """df with a row key: its own identifier is not assumed, so the key is a hash order made once from all columns."""
-    return df.withColumn("_row", F.xxhash64(*[F.col(c) for c in df.columns])), "_row"
+    """df with the number of each row, from 0 in the order read: equal rows keep keys of their own, and a reader can look them up."""
+    return row_index(df, "_row"), "_row"
+
+
+def _first(run: Run, items: list, most: int, what: str) -> list:
+    """The first items, with a warning if there are more."""
+    if len(items) > most:
+        run.warn("items_capped", f"{most} of {len(items)} {what} are looked at")
+    return items[:most]
+
+
+def _why(parts: list[dict], n_methods: int) -> str:
+    """One sentence on a row, from its contributors by falling |z|."""
+    if not parts:
+        return f"flagged by {n_methods} check(s)"
+    top = parts[0]
+    return f"{top['column']} is {top['x']:g}, {top['direction']} the typical {top['median']:g} by {abs(top['z']):.1f} robust deviations; flagged by {n_methods} check(s)"
 
 
 def anomaly_detection(tables, catalog, context, config, callbacks, table: str | None = None, target: str | None = None, expected_contamination: float | None = None) -> AnalysisResult:
@@ -264,15 +284,17 @@ def anomaly_detection(tables, catalog, context, config, callbacks, table: str |
         raise ValueError("expected_contamination lies between 0 and .5")
     run = Run("anomaly_detection", catalog, callbacks, context)
     target = target or context.target
-    names = [table] if table else list(tables)
+    names, verdict = [table] if table else list(tables), []
     for name in names:
         if name not in tables:
             run.warn("anomaly_table_not_found", f"no table {name}")
             continue
         df, key = _keyed(tables[name])
         info = _columns(catalog, name)
-        numeric = [c["column"] for c in info if c["kind"] == "numeric" and "identifier" not in c["roles"] and c["n_rows"] - c["n_missing"] >= 8 and c["n_distinct"] > 1 and c["column"] != target][:12]
+        numeric = [c["column"] for c in info if c["kind"] == "numeric" and "identifier" not in c["roles"] and c["n_rows"] - c["n_missing"] >= 8 and c["n_distinct"] > 1 and c["column"] != target]
+        numeric = _first(run, numeric, 12, f"numeric columns of {name}")
         labels = [c["column"] for c in info if c["kind"] in ("string", "boolean") and c["n_distinct"] <= 100]
+        shapes, reviewed = [], 0
         if numeric:
             found = run.stage("univariate", name, lambda df=df: rows(an.univariate_outliers(df, key, numeric).groupBy("column").agg(F.count("*").alias("n"), F.max(F.abs("z")).alias("max_z"), F.max_by("value", F.abs("z")).alias("example"))))
             n = info[0]["n_rows"]
@@ -285,9 +307,11 @@ def anomaly_detection(tables, catalog, context, config, callbacks, table: str |
                 if m:
                     ev = run.evidence("anomaly_distribution_shape", m, name, (c,), "largest_gap")
                     if m["is_multimodal"]:
+                        shapes.append(c)
                         run.finding(f"{name}.{c} looks like two populations", "high", ev)
         if len(numeric) > 1:
-            flagged = an.flags(df, key, numeric[:8])
+            joint = _first(run, numeric, 8, f"numeric columns of {name} for joint checks")
+            flagged = an.flags(df, key, joint).persist()
             agree = run.stage("agreement", name, lambda flagged=flagged: rows(an.agreement(flagged, key)))
             if agree:
                 run.evidence("anomaly_detector_agreement", agree, name, method="pairwise_jaccard")
@@ -295,23 +319,50 @@ def anomaly_detection(tables, catalog, context, config, callbacks, table: str |
             if review:
                 ev = run.evidence("anomaly_consensus_review", review, name, tuple(numeric), "cross_detector_consensus", 0.8)
                 run.finding(f"{len(review)} row(s) to review in {name}", "high", ev, step="review_flagged_rows", table=name)
-            top = max(1, min(25, round(info[0]["n_rows"] * (expected_contamination or 0.02))))
-            if info[0]["n_rows"] >= 20:
-                forest = run.stage("isolation_forest", name, lambda df=df: rows(an.isolation_forest(df, key, numeric, seed=config.random_seed).orderBy(F.desc("score")).limit(top)))
-                if forest:
-                    run.evidence("anomaly_isolation_forest", forest, name, tuple(numeric), "isolation_forest", 0.7)
+                reviewed = len(review)
+                told = run.stage("explanations", name, lambda df=df, review=review: rows(an.contributors(df, key, joint, [r[key] for r in review])))
+                if told:
+                    out = []
+                    for r in review:
+                        parts = sorted((t for t in told if t[key] == r[key]), key=lambda t: -abs(t["z"]))
+                        out.append({"row": r[key], "n_methods": r["n_methods"], "contributors": parts, "why": _why([t for t in parts if abs(t["z"]) >= 2.0], r["n_methods"])})
+                    run.evidence("anomaly_row_explanations", out, name, tuple(joint), "robust_z_by_column", 0.8)
+            flagged.unpersist()
+            peers = run.stage("conditional_examples", name, lambda df=df: rows(an.conditional_examples(df, key, joint)))
+            if peers:
+                run.evidence("anomaly_conditional_examples", peers, name, tuple(joint), "peer_band", 0.75)
+            n = info[0]["n_rows"]
+            top = max(1, min(25, math.ceil(n * (expected_contamination or 0.02))))
+            models = {}
+            if n >= 20:
+                models["isolation_forest"] = run.stage("isolation_forest", name, lambda df=df: rows(an.isolation_forest(df, key, numeric, seed=config.random_seed).orderBy(F.desc("score"), key).limit(top)))
+            if n >= 30:
+                models["local_density"] = run.stage("local_density", name, lambda df=df: rows(an.local_outlier_factor(df, key, joint, min(20, n - 1)).orderBy(F.desc("lof"), key).limit(top)))
+            for kind, found in models.items():
+                if found:
+                    run.evidence(f"anomaly_{kind}", found, name, tuple(numeric if kind == "isolation_forest" else joint), kind, 0.7)
+            both = [{r[key] for r in found} for found in models.values() if found]
+            if len(both) == 2:
+                shared, either = both[0] & both[1], both[0] | both[1]
+                ev = run.evidence("anomaly_model_agreement", {"n_both": len(shared), "n_either": len(either), "jaccard": round(len(shared) / len(either), 6), "rows": sorted(shared)}, name, tuple(joint), "top_rows_of_two_models", 0.7)
+                if len(shared) / len(either) < 0.2:
+                    run.finding(f"Density and isolation point at different rows of {name}", "low", ev, category="observation")
         if labels:
             for r in run.stage("rare", name, lambda df=df: rows(an.rare_categories(df, labels))) or []:
                 ev = run.evidence("anomaly_rare_category", r, name, (r["column"],), "low_frequency")
                 run.finding(f"Rare category in {name}.{r['column']}", "low", ev, confidence=0.68)
         if len(labels) > 1:
-            pairs = run.stage("rare_pairs", name, lambda df=df: rows(an.rare_pairs(df, labels[:8]).limit(200)))
+            pairs = run.stage("rare_pairs", name, lambda df=df: rows(an.rare_pairs(df, _first(run, labels, 8, f"label columns of {name}")).orderBy("n", "first", "second", "a", "b").limit(200)))
             if pairs:
                 ev = run.evidence("anomaly_rare_category_combination", pairs, name, tuple(labels[:8]), "low_frequency_pairs", 0.66)
                 run.finding(f"Rare category combinations in {name}", "low", ev, confidence=0.66)
         if target and target in tables[name].columns:
             run.evidence("anomaly_label_summary", rows(sup.target_classes(df, target)), name, (target,))
-    return run.done(None if run.result.evidence else "insufficient_evidence")
+        if shapes:
+            verdict.append(f"{name}: {', '.join(shapes)} hold(s) two populations to part, rather than scattered outliers")
+        elif reviewed:
+            verdict.append(f"{name}: {reviewed} row(s) to review")
+    return run.done(None if run.result.evidence else "insufficient_evidence", "; ".join(verdict))
 
 
 def _admitted(df: DataFrame, target: str, leaks: set[str], cap: int) -> tuple[list[str], list[str]]:
@@ -385,6 +436,14 @@ def classification(tables, catalog, context, config, callbacks, target: str | No
                 run.finding(f"Weak classification separability in {name}", "medium", ev)
             elif p["balanced_accuracy"] >= 0.85 and p["lift"] >= 0.2:
                 run.finding(f"Strong classification separability in {name}", "low", ev)
+    points = [c for c in numeric if not info[c]["n_missing"]]
+    if points and sum(c["n"] for c in real) >= 30:
+        scaled = clu.matrix(df.where(F.col(target).isNotNull()), key, points)
+        near = run.stage("neighbours", name, lambda: rows(sup.neighbour_disagreement(scaled.select(key, F.array(*points).alias("v")).join(df.select(key, target), key), key, "v", target).agg(F.count("*").alias("n"), F.round(F.avg("disagreement"), 6).alias("mean"), F.count_if(F.col("disagreement") >= 0.8).alias("n_against")))[0])
+        if near:
+            ev = run.evidence("classification_neighborhood_disagreement", near, name, tuple(points), "nearest_neighbours", 0.7)
+            if near["n_against"] >= 0.05 * near["n"]:
+                run.finding(f"{near['n_against']:,} row(s) of {name} sit among rows of other classes", "medium", ev, step="review_suspicious_labels", table=name)
     run.result.artifacts.append(Artifact("metric_table", "Class balance", classes))
     return run.done()
 
@@ -465,7 +524,7 @@ def regression(tables, catalog, context, config, callbacks, target: str | None =
                 leaks.add(c)
         elif (r.get("binned") or 0) - explained >= 0.10 and (r.get("binned") or 0) >= 0.05:
             run.finding(f"{c} relates to the target non-linearly", "low", ev, category="observation")
-    numeric, _ = _admitted(tables[name], target, leaks, max_categories)
+    numeric, groups = _admitted(tables[name], target, leaks, max_categories)
     if len(numeric) > 1:
         twins = run.stage("redundancy", name, lambda: {"pairs": rows(sup.redundant_pairs(df, numeric)), "vif": rows(sup.vif(df, numeric))})
         if twins:
@@ -490,7 +549,14 @@ def regression(tables, catalog, context, config, callbacks, target: str | None =
                 spread = [b["std"] for b in shape["bins"] if b["std"]]
                 if spread and max(spread) >= 2 * min(spread):
                     run.finding("Error spread changes across the prediction range", "medium", ev)
+            for c in _first(run, groups, 8, f"label columns of {name}"):
+                bad = run.stage("error_concentration", name, lambda c=c: rows(sup.subgroup_error(scored.join(df.select(key, F.col(c).cast("string").alias("_g")), key), "y", "p", "_g").where("ratio >= 1.5")))
+                if bad:
+                    run.finding(f"Errors gather in some values of {c}", "medium", run.evidence("regression_error_concentration", bad, name, (c,), "subgroup_mean_error", 0.76))
             scored.unpersist()
+        thin = [{"column": c, "bins": found} for c in _first(run, numeric, 8, f"numeric columns of {name}") if (found := run.stage("support", name, lambda c=c: rows(sup.weak_support(df, c).where("thin"))))]
+        if thin:
+            run.evidence("regression_weak_support", thin, name, tuple(t["column"] for t in thin), "rows_by_equal_width", 0.8)
         top = run.stage("influence", name, lambda: rows(sup.cooks_distance(df, target, numeric, key).where((F.col("cook") >= 0.5) | (F.abs("error") >= 4)).orderBy(F.desc("cook")).limit(20)))
         if top:
             ev = run.evidence("regression_influence", top, name, tuple(numeric), "leverage_and_cook", 0.8)
@@ -540,6 +606,13 @@ def time_series(tables, catalog, context, config, callbacks, value: str | None =
         if shape and len(shape) > 1:
             run.finding("The aggregate is not made of the same series throughout", "high", run.evidence("time_series_composition", shape[:200], name, (entity_id,)))
         run.warn("time_series_panel_aggregated", "entities are summed")
+        spans = run.stage("panel_spans", name, lambda: rows(ts.panel(df, timestamp, entity_id, unit)))
+        if spans:
+            longest = max(p["n_periods"] for p in spans)
+            short = [p for p in spans if p["n_periods"] < 0.5 * longest]
+            ev = run.evidence("time_series_panel", {"n_entities": len(spans), "n_short": len(short), "entities": sorted(spans, key=lambda p: (p["n_periods"], repr(p)))[:50]}, name, (entity_id,))
+            if len(spans) > 1 and len(short) >= 0.1 * len(spans):
+                run.finding(f"{len(short)} of {len(spans)} series of {entity_id} are much shorter than the longest", "medium", ev)
     series = ts.per_period(df, timestamp, value, unit, "sum" if entity_id else "avg")
     grid = ts.regular_grid(series, step).persist()
     for kind, title in (("gap", "period(s) were never recorded"), ("blank", "period(s) recorded with no value")):
@@ -576,7 +649,7 @@ def time_series(tables, catalog, context, config, callbacks, value: str | None =
             run.finding(f"{len(odd)} one-off value(s) in the series", "low", run.evidence("time_series_outliers", odd, name, (value,), "remainder_fences"), category="observation")
     r = run.stage("acf", name, lambda: rows(ts.acf(full, max(1, min(40, n // 3)))))
     if r:
-        run.evidence("time_series_autocorrelation", r, name, (value,), "acf")
+        run.evidence("time_series_autocorrelation", {"acf": r, "seasonal": [x for x in r if x["lag"] % period == 0], "pacf": run.stage("pacf", name, lambda: rows(ts.pacf(full, max(1, min(40, n // 3)))))}, name, (value,), "acf")
     st = run.stage("stationarity", name, lambda: ts.stationarity(full).first().asDict())
     if st:
         run.finding(f"The series is {st['verdict'].replace('_', ' ')}", "low", run.evidence("time_series_stationarity", st, name, (value,), "adf_kpss", 0.8), category="observation")
@@ -638,6 +711,24 @@ def clustering(tables, catalog, context, config, callbacks, features: list[str]
     run.finding(f"{k} groups reproduce on resampled rows", "low", ev, category="observation")
     labelled, _ = clu.kmeans_labels(clu.matrix(df, key, use), key, use, k, config.random_seed)
     run.evidence("clustering_segments", rows(clu.segment_profile(labelled, "label", use)), name, tuple(use), "segment_profile", 0.72)
+    for c in _first(run, [c["column"] for c in info if c["kind"] in ("string", "boolean") and 2 <= c["n_distinct"] <= 50], 8, f"label columns of {name}"):
+        lift = run.stage("category_lift", name, lambda c=c: rows(clu.category_lift(labelled.select(key, "label").join(df.select(key, c), key), "label", c)))
+        if lift:
+            run.evidence("clustering_category_profile", lift, name, (c,), "lift_by_segment", 0.7)
+    apart = run.stage("silhouette", name, lambda: rows(clu.silhouette(labelled, key, use)))
+    if apart:
+        run.evidence("clustering_silhouette_by_segment", apart, name, tuple(use), "silhouette", 0.76)
+    moved = run.stage("sensitivity", name, lambda: rows(clu.sensitivity(df, key, use, k, config.random_seed))) if len(use) > 1 else None
+    if moved:
+        run.evidence("clustering_sensitivity", moved, name, tuple(use), "leave_one_feature_out", 0.7)
+    flat = run.stage("projection", name, lambda: rows(clu.pca_projection(df, key, use, seed=config.random_seed))) if len(use) > 1 else None
+    if flat:
+        run.evidence("clustering_projection", flat, name, tuple(use), "pca", 0.7)
+        run.result.sampling.append(SamplingRecord("projection", n, min(n, 1200), reason="points of a chart"))
+    sizes = [s["n"] for s in rows(labelled.groupBy("label").agg(F.count("*").alias("n")))]
+    uneven = max(sizes) > 5 * min(sizes)
+    advice = "gaussian_mixture" if uneven and h["tendency"] == "clustered" else "kmeans" if h["tendency"] == "clustered" else "density_based"
+    run.evidence("clustering_algorithm_advice", {"advice": advice, "largest": max(sizes), "smallest": min(sizes), "tendency": h["tendency"]}, name, tuple(use), "shape_of_segments", 0.6)
     return run.done()
 
 
