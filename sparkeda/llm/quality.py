@@ -69,6 +69,21 @@ def share_of(value: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
 
 
+#: Tasks among which a group's rows are dealt where facts about groups reach them by a shuffle.
+SALTS = 16
+
+
+def told(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with facts, one row per key and read from files.
+
+    Spark broadcasts facts below its threshold by their known size. Beyond it both sides are dealt by key and salt,
+    so a hot group is many tasks, and what follows still adds up in each task before it shuffles by group.
+    """
+    many = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(many, [*keys, "_salt"], how).drop("_salt")
+
+
 def factored(fits: DataFrame, *keys: str) -> DataFrame:
     """(keys, m.., l.., logdet): the Cholesky factor of covariances c.. with the floors added, and the determinant's logarithm."""
     for j, k in PAIRS:
@@ -89,7 +104,7 @@ def starts(good: DataFrame) -> DataFrame:
     marks = coarse.groupBy("g").agg(*[share_of(f"q{j}", p).alias(f"{k}{j}") for j in range(DIMS) for k, p in (("a", 0.25), ("b", 0.5), ("c", 0.75))])
     marks = marks.select("g", *[(F.col(f"b{j}") / 1000).alias(f"m{j}") for j in range(DIMS)], *[F.greatest((F.col(f"c{j}") - F.col(f"a{j}")) / 1000 / 1.349, F.lit(FLOORS[j])).alias(f"s{j}") for j in range(DIMS)])
     marks = stored(marks, "mcd-marks")
-    z = good.join(marks, "g").select("g", *[((F.col(f"x{j}") / UNIT - F.col(f"m{j}")) / F.col(f"s{j}")).alias(f"z{j}") for j in range(DIMS)])
+    z = told(good, marks, ["g"]).select("g", *[((F.col(f"x{j}") / UNIT - F.col(f"m{j}")) / F.col(f"s{j}")).alias(f"z{j}") for j in range(DIMS)])
     z = z.withColumn("far", F.sqrt(sum((F.col(f"z{j}") * F.col(f"z{j}") for j in range(1, DIMS)), F.col("z0") * F.col("z0"))))
     whole = lambda c: F.round(c * 10**6).cast("long")
     sign = [F.when(F.col("far") > 0, F.col(f"z{j}") / F.col("far")).otherwise(0.0) for j in range(DIMS)]
@@ -109,12 +124,8 @@ def starts(good: DataFrame) -> DataFrame:
 
 
 def distanced(rows: DataFrame, fits: DataFrame, *more: str) -> DataFrame:
-    """Squared Mahalanobis distance by forward substitution with the group's Cholesky factor.
-
-    fits is a small table read from files (a row per group, or per group and start): Spark broadcasts
-    it below its threshold by its known size, and joins by shuffle, splitting a hot group, beyond it.
-    """
-    out = rows.join(fits, "g", "left")
+    """Squared Mahalanobis distance by forward substitution with the group's Cholesky factor (a row per group, or per group and start)."""
+    out = told(rows, fits, ["g"], "left")
     for j in range(DIMS):
         z = F.col(f"x{j}") / UNIT - F.col(f"m{j}")
         for k in range(j):
@@ -128,7 +139,7 @@ def concentrate(good: DataFrame, fits: DataFrame, share: float = SHARE) -> DataF
     """One C-step of every (g, s): mean and covariance of the share of the group's rows that are nearest by the fit."""
     far = distanced(good, fits, "s")
     cut = stored(far.groupBy("g", "s").agg(share_of("bin", share).alias("most")), "mcd-cut")
-    near = far.join(cut, ["g", "s"]).where("bin <= most")
+    near = told(far, cut, ["g", "s"]).where("bin <= most")
     exact = lambda c: F.sum(c.cast("decimal(38,0)")).cast("double")  # noqa: E731  sums that do not depend on order
     sums = [F.count("*").alias("n")] + [exact(F.col(f"x{j}")).alias(f"s{j}") for j in range(DIMS)] + [exact(F.col(f"x{j}") * F.col(f"x{k}")).alias(f"p{j}{k}") for j, k in PAIRS]
     fit = near.groupBy("g", "s").agg(*sums)
@@ -192,7 +203,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = stored(vector(measured(docs, doc_id, text, lang, source, carry)), "quality-rows")
     sizes = rows.where(~F.col("base_failed")).groupBy("group").agg(F.count("*").alias("size"))
     sizes = stored(sizes, "quality-sizes")
-    keyed = rows.join(sizes, "group", "left").withColumn("g", F.when(F.coalesce("size", F.lit(0)) >= MIN_GROUP, F.col("group")).otherwise("")).drop("size", "group")
+    keyed = told(rows, sizes, ["group"], "left").withColumn("g", F.when(F.coalesce("size", F.lit(0)) >= MIN_GROUP, F.col("group")).otherwise("")).drop("size", "group")
     pool = sizes.where(F.col("size") < MIN_GROUP).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     good = keyed.where(~F.col("base_failed")).select("g", *[f"x{j}" for j in range(DIMS)])
     if pool < MIN_GROUP:
