@@ -186,3 +186,30 @@ def loader_traps(rows: DataFrame) -> DataFrame:
 def label_profiles(rows: DataFrame) -> DataFrame:
     """Per label: files, median megapixels, mean brightness and sharpness."""
     return rows.where("valid").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col("width") * F.col("height") / 1e6, 0.5).alias("megapixels"), F.round(F.avg("brightness"), 6).alias("brightness"), F.round(F.avg("sharpness"), 8).alias("sharpness"))
+
+
+def outliers(rows: DataFrame, least: float = 4.5) -> DataFrame:
+    """path, column, value, z: files whose size in bytes, shape or grey metrics lie far from the others'."""
+    from sparkeda.operators.anomaly import univariate_outliers
+
+    facts = rows.where("valid").select("path", F.col("length").cast("double").alias("length"), (F.col("width") / F.col("height")).alias("aspect"), "brightness", "contrast", "sharpness", "entropy")
+    return univariate_outliers(facts, "path", facts.columns[1:]).where(F.abs("z") >= least).orderBy(F.desc(F.abs("z")), "path")
+
+
+def deviating_labels(profiles: list[dict], least: float = 3.5) -> list[dict]:
+    """Labels whose median size or mean brightness or sharpness is far from that of the other labels; needs 4 labels."""
+    out = []
+    for metric in ("megapixels", "brightness", "sharpness"):
+        have = [(p["label"], p[metric]) for p in profiles if p[metric] is not None]
+        if len(have) < 4:
+            continue
+        x = np.array([v for _, v in have], float)
+        middle = np.median(x)
+        mad = np.median(np.abs(x - middle))
+        out += [{"label": label, "metric": metric, "value": v, "median": float(middle), "z": round(float(0.6745 * (v - middle) / mad), 4)} for label, v in have if mad > 0 and abs(0.6745 * (v - middle) / mad) >= least]
+    return out
+
+
+def manifest(rows: DataFrame) -> DataFrame:
+    """Files, bytes and unreadable files by split, label and format."""
+    return rows.groupBy("split", "label", "format").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.count_if(~F.col("valid")).alias("n_invalid"))

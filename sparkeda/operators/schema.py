@@ -187,3 +187,43 @@ def layers(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
         if not changed:
             break
     return {v: min(d, max(0, len(nodes) - 1)) for v, d in depth.items()}
+
+
+def ordered_layers(depth: dict[str, int], edges: list[tuple[str, str]], sweeps: int = 4) -> list[list[str]]:
+    """Tables by layer, each layer in the order of its members' mean neighbour place, swept down and up, so that fewer links cross."""
+    rows = [sorted(t for t, d in depth.items() if d == k) for k in range(max(depth.values(), default=-1) + 1)]
+    near: dict[str, list[str]] = {t: [] for t in depth}
+    for child, parent in edges:
+        near[child].append(parent)
+        near[parent].append(child)
+    for sweep in range(sweeps):
+        for k in range(len(rows)) if sweep % 2 == 0 else reversed(range(len(rows))):
+            place = {t: i for row in rows for i, t in enumerate(row)}
+            other = {t: [place[x] for x in near[t] if depth[x] != k] for t in rows[k]}
+            rows[k].sort(key=lambda t: (sum(other[t]) / len(other[t]) if other[t] else place[t], t))
+    return rows
+
+
+def graph_chart(tables: list[str], roles: list[dict], importance: dict[str, float], depth: dict[str, int], links: list[dict]) -> dict:
+    """Nodes with role, importance and place, and edges with their keys: what a drawing of the schema needs."""
+    by = {r["table"]: r for r in roles}
+    rows = ordered_layers(depth, [(r["child"], r["parent"]) for r in links])
+    place = {t: (k, i) for k, row in enumerate(rows) for i, t in enumerate(row)}
+    nodes = [{"table": t, "role": by[t]["role"] if t in by else "standalone", "importance": round(importance.get(t, 0.0), 6), "layer": place[t][0], "place": place[t][1]} for t in sorted(tables)]
+    return {"nodes": nodes, "edges": [{k: r[k] for k in ("child", "child_key", "parent", "parent_key", "cardinality", "confidence")} for r in links]}
+
+
+def schema_verdict(n_tables: int, links: list[dict], roles: list[dict]) -> str:
+    """One sentence: how the tables hang together, and what to look at first."""
+    if not links:
+        return f"{n_tables} tables, no relationship between them passes"
+    alone = sorted(r["table"] for r in roles if r["role"] == "standalone")
+    orphans = [r for r in links if r["orphan_rows"]]
+    out = f"{n_tables} tables, {len(links)} relationship(s)"
+    hubs = sorted(r["table"] for r in roles if r["role"] == "hub")
+    out += f", around {', '.join(hubs)}" if hubs else ""
+    out += f"; {', '.join(alone)} stand(s) alone" if alone else ""
+    if orphans:
+        worst = max(orphans, key=lambda r: r["orphan_rows"])
+        out += f"; {worst['orphan_rows']:,} rows of {worst['child']}.{worst['child_key']} have no {worst['parent']}"
+    return out

@@ -235,10 +235,11 @@ def discover_schema(tables, catalog, context, config, callbacks, max_key_columns
         names = sorted(tables)
         spark = next(iter(tables.values())).sparkSession
         roles = rows(sch.graph_roles(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame([(n,) for n in names], "`table` string")))
-        graph = {"roles": roles, "importance": sch.pagerank(names, edges), "layers": sch.layers(names, edges), "links": links}
+        depth, importance = sch.layers(names, edges), sch.pagerank(names, edges)
+        graph = {"roles": roles, "importance": importance, "layers": depth, "links": links, "drawing": sch.graph_chart(names, roles, importance, depth, links)}
         run.evidence("schema_graph", graph, method="degree_and_pagerank")
         run.result.artifacts.append(Artifact("schema_graph", "Tables and relationships", graph))
-    return run.done(None if links else "no_meaningful_structure")
+    return run.done(None if links else "no_meaningful_structure", sch.schema_verdict(len(tables), links, roles if links else []))
 
 
 def _one_table(run: Run, tables, table: str | None, column: str | None, goal: str) -> str | None:
@@ -328,6 +329,10 @@ def anomaly_detection(tables, catalog, context, config, callbacks, table: str |
                         out.append({"row": r[key], "n_methods": r["n_methods"], "contributors": parts, "why": _why([t for t in parts if abs(t["z"]) >= 2.0], r["n_methods"])})
                     run.evidence("anomaly_row_explanations", out, name, tuple(joint), "robust_z_by_column", 0.8)
             flagged.unpersist()
+            points = run.stage("scatter", name, lambda df=df: [{"x": r[joint[0]], "y": r[joint[1]]} for r in rows(cat.seeded_sample(df.select(key, joint[0], joint[1]).dropna(), 500, [key], config.random_seed))])
+            if points:
+                run.evidence("anomaly_scatter", points, name, tuple(joint[:2]), "seeded_sample_of_rows")
+                run.result.sampling.append(SamplingRecord("scatter", info[0]["n_rows"], len(points), reason="points of a chart"))
             peers = run.stage("conditional_examples", name, lambda df=df: rows(an.conditional_examples(df, key, joint)))
             if peers:
                 run.evidence("anomaly_conditional_examples", peers, name, tuple(joint), "peer_band", 0.75)
@@ -549,6 +554,10 @@ def regression(tables, catalog, context, config, callbacks, target: str | None =
                 spread = [b["std"] for b in shape["bins"] if b["std"]]
                 if spread and max(spread) >= 2 * min(spread):
                     run.finding("Error spread changes across the prediction range", "medium", ev)
+            points = run.stage("scatter", name, lambda: [{"x": r["p"], "y": r["y"] - r["p"]} for r in rows(cat.seeded_sample(scored.select(key, "y", "p"), 500, [key], config.random_seed))])
+            if points:
+                run.evidence("regression_residual_scatter", points, name, (target,), "seeded_sample_of_rows")
+                run.result.sampling.append(SamplingRecord("residual_scatter", info[target]["n_rows"], len(points), reason="points of a chart"))
             for c in _first(run, groups, 8, f"label columns of {name}"):
                 bad = run.stage("error_concentration", name, lambda c=c: rows(sup.subgroup_error(scored.join(df.select(key, F.col(c).cast("string").alias("_g")), key), "y", "p", "_g").where("ratio >= 1.5")))
                 if bad:
@@ -561,6 +570,9 @@ def regression(tables, catalog, context, config, callbacks, target: str | None =
         if top:
             ev = run.evidence("regression_influence", top, name, tuple(numeric), "leverage_and_cook", 0.8)
             run.finding(f"{len(top)} row(s) worth reviewing", "medium", ev, step="review_influential_rows", table=name)
+            odd = run.stage("extreme_features", name, lambda: rows(an.contributors(df, key, numeric, [t[key] for t in top], 2.5)))
+            if odd:
+                run.evidence("regression_extreme_features", odd, name, tuple(numeric), "robust_z_by_column", 0.75)
     return run.done()
 
 
@@ -785,7 +797,15 @@ def images(files: DataFrame, context, callbacks, threshold: int = 4) -> Analysis
             run.finding("File extensions do not match the actual encoding", "medium", ev)
         if kinds & {"grey_as_colour", "alpha"}:
             run.finding("Channel layout is inconsistent", "low", ev)
-    run.evidence("image_label_profile", rows(img.label_profiles(rec)), "images")
+    profiles = rows(img.label_profiles(rec))
+    run.evidence("image_label_profile", profiles, "images")
+    apart = img.deviating_labels(profiles)
+    if apart:
+        run.finding("Some labels look unlike the others", "low", run.evidence("image_deviating_labels", apart, "images", method="robust_z_of_label_means", confidence=0.7), category="observation")
+    odd = run.stage("outliers", "images", lambda: rows(img.outliers(rec).limit(200)))
+    if odd:
+        run.evidence("image_outliers", odd, "images", method="robust_z_of_metrics", confidence=0.7)
+    run.evidence("image_manifest", rows(img.manifest(rec)), "images", method="counts_by_split_label_format")
     rec.unpersist()
     return run.done()
 

@@ -52,6 +52,38 @@ def heat(cells: list[dict], width: int = 320) -> str:
     return f'<svg width="{width}" height="{width}" role="img">{body}</svg>'
 
 
+def paired(rows: list[tuple[Any, float, float]], width: int = 480, height: int = 120) -> str:
+    """Two bars beside each other for each label: base and compared."""
+    if not rows:
+        return ""
+    top = max(max(a, b) for _, a, b in rows) or 1
+    w = width / len(rows) / 2
+    body = ""
+    for i, (k, *both) in enumerate(rows):
+        for j, (v, colour) in enumerate(zip(both, ("#269", "#c73"), strict=True)):
+            body += f'<rect x="{(2 * i + j) * w:.1f}" y="{height - v / top * height:.1f}" width="{max(w - 1, 1):.1f}" height="{v / top * height:.1f}" fill="{colour}"><title>{escape(str(k))}: {v:g}</title></rect>'
+    return f'<svg width="{width}" height="{height}" role="img">{body}</svg>'
+
+
+def band(r: dict, width: int = 320, height: int = 26) -> str:
+    """A value beside the middle half and the median of its peers."""
+    lo, hi = min(r["q1"], r["x"]), max(r["q3"], r["x"])
+    at = lambda v: 8 + (v - lo) / ((hi - lo) or 1) * (width - 16)
+    body = f'<rect x="{at(r["q1"]):.1f}" y="6" width="{max(at(r["q3"]) - at(r["q1"]), 1):.1f}" height="14" fill="#ccd"/><line x1="{at(r["median"]):.1f}" x2="{at(r["median"]):.1f}" y1="4" y2="22" stroke="#269"/><circle cx="{at(r["x"]):.1f}" cy="13" r="4" fill="#a00"/>'
+    return f'<p><small>{escape(r["value"])} within {escape(r["condition"])}, {r["n_peers"]} peers</small></p><svg width="{width}" height="{height}" role="img">{body}</svg>'
+
+
+def network(drawing: dict, width: int = 640, step: int = 90) -> str:
+    """Tables in layers, parents above, with a line for each relationship."""
+    layers: dict[int, list[dict]] = {}
+    for n in sorted(drawing["nodes"], key=lambda n: (n["layer"], n["place"])):
+        layers.setdefault(n["layer"], []).append(n)
+    at = {n["table"]: ((i + 0.5) * width / len(row), 25 + k * step) for k, row in layers.items() for i, n in enumerate(row)}
+    lines = "".join(f'<line x1="{at[e["child"]][0]:.0f}" y1="{at[e["child"]][1]:.0f}" x2="{at[e["parent"]][0]:.0f}" y2="{at[e["parent"]][1]:.0f}" stroke="#888"><title>{escape(e["child"])}.{escape(e["child_key"])} to {escape(e["parent"])}.{escape(e["parent_key"])}, {e["cardinality"]}</title></line>' for e in drawing["edges"])
+    boxes = "".join(f'<rect x="{x - 55:.0f}" y="{y - 14:.0f}" width="110" height="28" fill="#fff" stroke="#269"/><text x="{x:.0f}" y="{y + 4:.0f}" font-size="12" text-anchor="middle">{escape(t)}</text>' for t, (x, y) in at.items())
+    return f'<svg width="{width}" height="{50 + step * max(layers, default=0)}" role="img">{lines}{boxes}</svg>'
+
+
 def chart(kind: str, value: Any) -> str:
     if kind == "profile_distribution":
         return bars([(h["bin"], h["n"]) for h in sorted(value["histogram"], key=lambda h: h["bin"])])
@@ -64,11 +96,36 @@ def chart(kind: str, value: Any) -> str:
     if kind == "profile_scatter":
         return dots(value)
     if kind == "time_series_autocorrelation":
-        return bars([(a["lag"], abs(a["acf"] or 0)) for a in sorted(value, key=lambda a: a["lag"])])
+        return bars([(a["lag"], abs(a["acf"] or 0)) for a in sorted(value["acf"], key=lambda a: a["lag"])])
     if kind == "column_comparison_chart" and "bins" in value:
-        return bars([(f"base {b['bin']}", b["n_base"]) for b in value["bins"]]) + bars([(f"compare {b['bin']}", b["n_compare"]) for b in value["bins"]])
+        return paired([(b["bin"], b["n_base"], b["n_compare"]) for b in sorted(value["bins"], key=lambda b: b["bin"])])
+    if kind == "column_comparison_chart" and "bars" in value:
+        return paired([(b["label"], b["n_base"], b["n_compare"]) for b in value["bars"]])
     if kind == "clustering_k_sweep":
         return bars([(f"k={s['k']}", max(s["silhouette"], 0)) for s in value])
+    if kind == "clustering_silhouette_by_segment":
+        return bars([(f"segment {s['label']}", max(s["silhouette"] or 0, 0)) for s in value])
+    if kind == "classification_target_summary":
+        return bars([(c["label"], c["n"]) for c in value])
+    if kind == "anomaly_row_explanations":
+        return "".join(f"<p>{escape(r['why'])}</p>" + bars([(c["column"], abs(c["z"])) for c in r["contributors"]], height=50) for r in value)
+    if kind == "anomaly_conditional_examples":
+        return "".join(band(r) for r in value[:12])
+    if kind in ("anomaly_isolation_forest", "anomaly_local_density"):
+        return bars([(i, r.get("score", r.get("lof"))) for i, r in enumerate(sorted(value, key=lambda r: -r.get("score", r.get("lof", 0))))])
+    if kind in ("clustering_projection", "regression_residual_scatter", "anomaly_scatter"):
+        names = ("x", "y")
+        return dots([{n: r[n] for n in names} for r in value])
+    if kind == "regression_residual_shape":
+        return bars([(b["bin"], abs(b["std"] or 0)) for b in sorted(value["bins"], key=lambda b: b["bin"])])
+    if kind == "regression_influence":
+        return bars([(i, r["cook"]) for i, r in enumerate(value)])
+    if kind in ("time_series_gaps", "time_series_blanks"):
+        return bars([(i, f["n_periods"]) for i, f in enumerate(value)], height=60)
+    if kind == "image_label_profile":
+        return bars([(r["label"], r["n"]) for r in value])
+    if kind == "schema_graph":
+        return network(value["drawing"])
     return ""
 
 
