@@ -99,7 +99,7 @@ def profile(tables, catalog, context, config, callbacks, detail: str = "standard
             if c["kind"] != "numeric" and c["n_distinct"] == t["n_rows"] > 1:
                 run.finding(f"{name}.{c['column']} has all-unique values", "info", ev, category="observation")
         run.stage("quality", name, lambda df=df, t=t: _quality(run, df, t, now))
-        run.stage("distributions", name, lambda df=df, t=t: _distributions(run, df, t, caps[0]))
+        run.stage("distributions", name, lambda df=df, t=t: _distributions(run, df, t, caps[0], detail == "full"))
         run.stage("associations", name, lambda df=df, t=t: _associations(run, df, t, caps[1]))
     few = sum(t["n_rows"] for t in catalog) == 0
     if few:
@@ -166,7 +166,7 @@ def _quality(run: Run, df: DataFrame, t: dict, now: str) -> None:
                 run.finding(f"{name}: {b} lies before {a}", "high", ev)
 
 
-def _distributions(run: Run, df: DataFrame, t: dict, cap: int) -> None:
+def _distributions(run: Run, df: DataFrame, t: dict, cap: int, fit_laws: bool = False) -> None:
     name = t["table"]
     use = [c for c in t["columns"] if c["n_rows"] - c["n_missing"] >= 8]
     if len(use) > cap:
@@ -175,7 +175,7 @@ def _distributions(run: Run, df: DataFrame, t: dict, cap: int) -> None:
         col = c["column"]
         if c["kind"] == "numeric":
             run.evidence("profile_distribution", {"shape": dist.shape(df, col).first(), "box": dist.box(df, col).first(), "modality": dist.modality_gap(df, col).first(), "histogram": rows(dist.histogram(df, col, min(24, max(6, c["n_rows"] // 2))))}, name, (col,), "histogram_moments")
-            fit = run.stage("family_fit", name, lambda col=col: rows(dist.family_fit(df, col))) if c["n_distinct"] >= 20 else None
+            fit = run.stage("family_fit", name, lambda col=col: rows(dist.family_fit(df, col))) if fit_laws and c["n_distinct"] >= 20 else None
             if fit:
                 run.evidence("profile_distribution_family", fit, name, (col,), "kolmogorov_smirnov", 0.7)
         elif c["semantic_type"] in ("categorical", "boolean"):
