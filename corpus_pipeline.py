@@ -9,11 +9,11 @@ texts are values like others, an empty table goes through as one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkeda.llm import decontamination, jaccard, mixing, quality, sharding
-from sparkeda.llm.shared import NO_ID, discard, numbered, place_of, stored
+from sparkeda.llm.shared import NO_ID, numbered, place_of, stored
 
 HASH = "text_hash"
 
@@ -28,25 +28,38 @@ def _told_apart(docs: DataFrame, at: dict[str, str]) -> DataFrame:
     return docs.withColumn(HASH, F.xxhash64(F.col(at["text"])))
 
 
-def _without(docs: DataFrame, at: dict[str, str], gone: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, hash) is not among gone, a stored table.
+def _key(at: dict[str, str]):
+    """(doc_id, hash) of a row, without nulls."""
+    return F.coalesce(F.col(at["doc_id"]), F.lit(NO_ID)), F.col(HASH)
 
-    Its size is known from its files: below Spark's threshold it is broadcast and no text is
-    moved; beyond that texts are dealt by the key and neither sorted nor broadcast.
-    """
-    size = int(str(gone._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    limit = docs.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    side = gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone"), F.col(HASH).alias("_gone_hash"))
-    side = side if size <= limit else side.hint("shuffle_hash")
-    same = (F.coalesce(F.col(at["doc_id"]), F.lit(NO_ID)) == F.col("_gone")) & (F.col(HASH) == F.col("_gone_hash"))
-    return docs.join(side, same, "left_anti")
+
+def _side(keys: DataFrame, *more: str) -> DataFrame:
+    """Keys (doc_id, hash) under names of their own, to join rows with: texts are dealt by the key, neither sorted nor broadcast."""
+    return keys.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_of"), F.col(HASH).alias("_of_hash"), *more).hint("shuffle_hash")
+
+
+def _without(rows: DataFrame, at: dict[str, str], gone: DataFrame) -> DataFrame:
+    """Rows whose (doc_id, hash) is not among gone."""
+    of, of_hash = _key(at)
+    return rows.join(_side(gone), (of == F.col("_of")) & (of_hash == F.col("_of_hash")), "left_anti")
+
+
+def _among(rows: DataFrame, at: dict[str, str], keys: DataFrame, *more: str) -> DataFrame:
+    """Rows whose (doc_id, hash) is in keys, with the columns `more` of keys."""
+    of, of_hash = _key(at)
+    return rows.join(_side(keys, *more), (of == F.col("_of")) & (of_hash == F.col("_of_hash"))).drop("_of", "_of_hash")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go. Rows keep their texts beside them and are not shuffled."""
+    """Documents that the base rules or the outlier test reject go."""
     rows, at = _named(docs)
-    kept = quality.judge(rows, at["doc_id"], at["text"], at["lang"], at["source"], tuple(rows.columns)).where("kept")
-    return kept.select(*rows.columns).toDF(*docs.columns)
+    rows = _told_apart(rows, at)
+    found = quality.judge(rows, at["doc_id"], at["text"], at["lang"], at["source"], (HASH, at["lang"], at["source"]))
+    # rows alike in id and text may differ in language or source, and so in their verdict: these count as well
+    labels = [F.coalesce(F.col(at[c]).cast("string"), F.lit("")) for c in ("lang", "source")]
+    gone = found.where(~F.col("kept")).select("doc_id", F.xxhash64(HASH, *labels).alias(HASH)).distinct()
+    left = _without(rows.withColumn(HASH, F.xxhash64(HASH, *labels)), at, gone)
+    return left.drop(HASH).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,23 +67,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, at = _named(docs)
     rows = _told_apart(rows, at)
     found = stored(jaccard.cluster(rows, doc_id=at["doc_id"], text=at["text"], carry=(HASH,)).where("n_shingles > 0"), "pipeline-groups")
+    own = "component_id <=> doc_id"
+    # rows under the smallest doc_id of their component: one, unless rows repeat it
     key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col(HASH).alias("h"))
-    first = found.groupBy("group_id").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.withColumn("key", key).join(first, "group_id")
-    gone = stored(later.where(F.col("key") != F.col("first")).select("doc_id", HASH).distinct(), "pipeline-gone")
-    left = _without(rows, at, gone)
-    again = later.where(F.col("key") == F.col("first")).groupBy("doc_id", HASH).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", HASH)
-    again = stored(again, "pipeline-again")
-    if not again.isEmpty():  # rows alike in doc_id and text
-        single = _without(rows, at, stored(again.unionByName(gone), "pipeline-gone"))
-        side = again.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone"), F.col(HASH).alias("_gone_hash"))
-        same = (F.coalesce(F.col(at["doc_id"]), F.lit(NO_ID)) == F.col("_gone")) & (F.col(HASH) == F.col("_gone_hash"))
-        whole = F.struct(*rows.columns)
-        one = rows.join(side, same, "left_semi").groupBy(at["doc_id"], HASH).agg(F.min(whole).alias("row")).select("row.*")
-        left = single.unionByName(one)
-    else:
-        discard(again)
-    return left.drop(HASH).toDF(*docs.columns)
+    heads = found.where(own).groupBy("group_id", "doc_id", HASH).agg(F.count("*").alias("n")).withColumn("key", key)
+    first = heads.groupBy("group_id").agg(F.min("key").alias("first"))
+    heads = stored(heads.join(first, "group_id").select("doc_id", HASH, "n", (F.col("key") == F.col("first")).alias("is_first")), "pipeline-heads")
+    gone = found.where(f"NOT ({own})").select("doc_id", HASH).unionByName(heads.where("NOT is_first").select("doc_id", HASH)).distinct()
+    again = stored(heads.where("is_first AND n > 1").select("doc_id", HASH), "pipeline-again")
+    if again.isEmpty():
+        return _without(rows, at, gone).drop(HASH).toDF(*docs.columns)
+    # rows alike in id and text: the least of them by all columns
+    single = _without(rows, at, gone.unionByName(again))
+    one = _among(rows, at, again).groupBy(at["doc_id"], HASH).agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+    return single.unionByName(one).drop(HASH).toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,17 +88,25 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     rows, at = _named(docs)
     rows = _told_apart(rows, at)
     found = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=at["doc_id"], text=at["text"], carry=(HASH,))
-    gone = stored(found.where("contaminated").select("doc_id", HASH), "pipeline-gone")
+    gone = found.where("contaminated").select("doc_id", HASH)
     return _without(rows, at, gone).drop(HASH).toDF(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; the last repetition counts if at least half its words are taken."""
     rows, at = _named(docs)
-    mixed = mixing.mix(rows, doc_id=at["doc_id"], text=at["text"], source=at["source"], carry=tuple(rows.columns)).where("size > 0")
+    rows = _told_apart(rows, at)
+    mixed = mixing.mix(rows, doc_id=at["doc_id"], text=at["text"], source=at["source"], carry=(HASH,)).where("size > 0")
     times = F.round(F.col("taken") / F.col("size")).cast("int")
-    many = mixed.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
-    return many.select(*rows.columns).toDF(*docs.columns)
+    mixed = stored(mixed.groupBy("doc_id", HASH).agg(F.sum(times).alias("_times"), F.count("*").alias("_rows")).where("_times > 0"), "pipeline-times")
+    out = _among(rows, at, mixed.where("_rows = 1"), "_times")
+    if not mixed.where("_rows > 1").isEmpty():
+        # rows alike in id and text share their repetitions, as evenly as whole numbers go
+        alike = Window.partitionBy(at["doc_id"], HASH).orderBy(F.xxhash64(*[c for c in rows.columns if c != HASH]))
+        many = _among(rows, at, mixed.where("_rows > 1"), "_times", "_rows").withColumn("_n", F.row_number().over(alike))
+        share = F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_n") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
+        out = out.unionByName(many.withColumn("_times", share.cast("long")).where("_times > 0").select(*out.columns))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*[c for c in rows.columns if c != HASH]).toDF(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
