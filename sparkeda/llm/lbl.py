@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CONTEXT, DIMS = 3, 32
+CONTEXT, DIMS = 3, 24
 #: Tokens of a step, noise draws that they share, and the learning rate of Adagrad.
-BATCH, NOISE, RATE = 512, 64, 0.12
+BATCH, NOISE, RATE = 512, 32, 0.12
 #: A unit of fewer tokens is gone through several times, at most so often.
 ENOUGH, REPEATS = 400_000, 8
 
@@ -32,7 +32,7 @@ class Model:
 
     def hidden(self, before: np.ndarray) -> np.ndarray:
         """Predicted vector of each row of context inputs, the nearest first."""
-        return sum(self.r[before[:, i]] @ self.c[i] for i in range(CONTEXT))
+        return self.r[before.reshape(-1)].reshape(len(before), -1) @ self.c.reshape(-1, DIMS)
 
 
 def initial(n_inputs: int, counts: np.ndarray, seed: int = 7) -> Model:
@@ -50,11 +50,11 @@ def contexts(ids: np.ndarray, start: int, end: int, stop: int) -> np.ndarray:
     """
     padded = np.concatenate([np.full(max(0, CONTEXT - start), stop, ids.dtype), ids[max(0, start - CONTEXT) : end]])
     n = end - start
-    out = np.empty((n, CONTEXT), np.int64)
+    out = np.empty((n, CONTEXT), ids.dtype)
     ended = np.zeros(n, bool)
     for i in range(CONTEXT):
-        x = padded[CONTEXT - 1 - i : CONTEXT - 1 - i + n].astype(np.int64)
-        out[:, i] = np.where(ended, stop, x)
+        x = padded[CONTEXT - 1 - i : CONTEXT - 1 - i + n]
+        out[:, i] = np.where(ended, ids.dtype.type(stop), x)
         ended |= x == stop
     return out
 
@@ -78,7 +78,6 @@ def train_unit(model: Model, ids: np.ndarray, class_of: np.ndarray, stop: int, s
     sums = [np.full(len(m.r), 1e-2, np.float32), np.full(CONTEXT, 1e-2, np.float32), np.full(len(m.q), 1e-2, np.float32), np.full(len(m.b), 1e-2, np.float32)]
     log_noise = np.log(NOISE * m.own)
     cum = np.cumsum(m.own, dtype=np.float64)
-    target = class_of[ids]
 
     def row_step(p: np.ndarray, s: np.ndarray, of: np.ndarray, g: np.ndarray) -> None:
         of, g = _rows(of, g)
@@ -86,12 +85,14 @@ def train_unit(model: Model, ids: np.ndarray, class_of: np.ndarray, stop: int, s
         scale = RATE / np.sqrt(s[of])
         p[of] += scale[:, None] * g if g.ndim == 2 else scale * g
 
+    before, target = contexts(ids, 0, len(ids), stop), class_of[ids].astype(np.int16)
+    c = m.c.reshape(-1, DIMS)  # a view: one product serves all positions
     for _ in range(max(1, min(REPEATS, ENOUGH // max(1, len(ids))))):
         for a in range(0, len(ids), BATCH):
-            z = min(len(ids), a + BATCH)
-            x, w = contexts(ids, a, z, stop), target[a:z]
-            noise = np.minimum(np.searchsorted(cum, rng.random(NOISE) * cum[-1], "right"), len(cum) - 1)
-            h = m.hidden(x)
+            x, w = before[a : a + BATCH].reshape(-1), target[a : a + BATCH]
+            noise = np.minimum(np.searchsorted(cum, rng.random(NOISE) * cum[-1], "right"), len(cum) - 1).astype(np.int16)
+            rx = m.r[x].reshape(len(w), -1)
+            h = rx @ c
             qw, qn = m.q[w], m.q[noise]
             true = np.einsum("ij,ij->i", h, qw) + m.b[w] - log_noise[w]
             fake = h @ qn.T + (m.b[noise] - log_noise[noise])
@@ -99,14 +100,14 @@ def train_unit(model: Model, ids: np.ndarray, class_of: np.ndarray, stop: int, s
             df = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
             gh = dt[:, None] * qw + df @ qn
             both = np.concatenate([w, noise])
+            gb = np.concatenate([dt, df.sum(0)])
             row_step(m.q, sums[2], both, np.concatenate([dt[:, None] * h, df.T @ h]))
-            row_step(m.b, sums[3], both, np.concatenate([dt, df.sum(0)]))
-            grads = [gh @ m.c[i].T for i in range(CONTEXT)]
-            for i in range(CONTEXT):
-                g = m.r[x[:, i]].T @ gh
-                sums[1][i] += (g * g).mean()
-                m.c[i] += RATE / np.sqrt(sums[1][i]) * g * 0.3
-            row_step(m.r, sums[0], x.T.reshape(-1), np.concatenate(grads))
+            row_step(m.b, sums[3], both, gb)
+            gx, gc = (gh @ c.T).reshape(-1, DIMS), rx.T @ gh
+            by_place = gc.reshape(CONTEXT, -1)
+            sums[1] += (by_place * by_place).mean(1)
+            c += np.repeat(0.3 * RATE / np.sqrt(sums[1]), DIMS)[:, None] * gc
+            row_step(m.r, sums[0], x, gx)
     return m, np.bincount(ids, minlength=len(m.r)).astype(np.float64), np.bincount(target, minlength=len(m.b)).astype(np.float64)
 
 
@@ -125,18 +126,20 @@ def averaged(m: Model, total: np.ndarray) -> Model:
     return Model(mean(r.reshape(m.r.shape), n_in[:, None], m.r), (c.reshape(m.c.shape) / n[0]).astype(np.float32), mean(q.reshape(m.q.shape), n_out[:, None], m.q), mean(b, n_out, m.b), m.own)
 
 
-def log10_probabilities(model: Model, ids: np.ndarray, class_of: np.ndarray, stop: int, block: int = 8192) -> np.ndarray:
+def log10_probabilities(model: Model, ids: np.ndarray, class_of: np.ndarray, stop: int, block: int = 2048) -> np.ndarray:
     """log10 of P(class | context) of each token, mixed with a thousandth of the classes' shares so that none is impossible."""
     out = np.empty(len(ids), np.float64)
-    target = class_of[ids]
+    before, target = contexts(ids, 0, len(ids), stop), class_of[ids]
+    both = np.concatenate([model.q, model.b[:, None]], 1).T.copy()  # the bias is one more factor
+    ones = np.ones(len(model.q), np.float32)
+    widest = float(np.sqrt((model.q.astype(np.float64) ** 2).sum(1).max()))
     for a in range(0, len(ids), block):
-        z = min(len(ids), a + block)
-        s = model.hidden(contexts(ids, a, z, stop)) @ model.q.T
-        s += model.b
-        if s.max() > 80 or s.max(1).min() < -60:  # else exp() can neither overflow nor lose a row
+        w = target[a : a + block]
+        h = np.concatenate([model.hidden(before[a : a + block]), np.ones((len(w), 1), np.float32)], 1)
+        s = h @ both
+        if widest * float(np.sqrt((h * h).sum(1).max())) + float(np.abs(model.b).max()) > 80:  # else exp() can neither overflow nor lose a row
             s -= s.max(1, keepdims=True)
         np.exp(s, out=s)
-        w = target[a:z]
-        p = s[np.arange(z - a), w].astype(np.float64) / s.sum(1, dtype=np.float64)
-        out[a:z] = np.log10(0.999 * p + 0.001 * model.own[w])
+        p = s[np.arange(len(w)), w].astype(np.float64) / (s @ ones)
+        out[a : a + block] = np.log10(0.999 * p + 0.001 * model.own[w])
     return out

@@ -26,7 +26,7 @@ INPUTS = 8191
 #: Tokens of a unit of training: what one model copy goes through before copies are averaged.
 UNIT = 2_000_000
 #: Pieces in which sums of models are added up.
-PIECES = 16
+PIECES = 128
 END = np.uint64(0x9AE16A3B2F90404F)
 
 
