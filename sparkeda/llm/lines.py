@@ -76,7 +76,8 @@ def deduplicate(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text: str
     cut = stored(later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "m")).alias("cut")), "line-cut")
     discard(prints, counts, hashed, windows, seen)
 
-    marked = base.join(cut, "doc_id", "left").select("doc_id", "all", F.coalesce("cut", F.array().cast("array<struct<pos:int,m:int>>")).alias("cut"), F.array_compact(F.transform("all", lambda x, i: F.when(x.rlike(HAS_WORD), i))).alias("places"))
+    # texts are dealt by doc_id at every size, neither sorted nor broadcast to
+    marked = base.join(cut.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "all", F.coalesce("cut", F.array().cast("array<struct<pos:int,m:int>>")).alias("cut"), F.array_compact(F.transform("all", lambda x, i: F.when(x.rlike(HAS_WORD), i))).alias("places"))
     gone = F.array_distinct(F.flatten(F.transform("cut", lambda w: F.slice("places", w["pos"] + 1, w["m"]))))
     marked = marked.select("doc_id", "all", F.size("places").cast("long").alias("n_lines"), gone.alias("gone"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
