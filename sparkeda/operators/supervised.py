@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeda.functions.columns import adjusted_kurtosis, adjusted_skew, edge_bin, equal_bin, finite, hash_order
-from sparkeda.functions.ordered import quantiles, running
+from sparkeda.functions.ordered import narrowed_quantile, quantiles, running
 from sparkeda.operators.associations import contingency
 
 
@@ -237,7 +237,8 @@ def predicted(features: list[str], beta: np.ndarray, facts: dict) -> Column:
 
 def regression_metrics(scored: DataFrame, actual: str = "y", fitted: str = "p") -> DataFrame:
     e = F.col(actual) - F.col(fitted)
-    got = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(F.abs(e), 0.5).alias("medae"), F.sum(e * e).alias("sse"), F.var_pop(actual).alias("v"))
+    middle = narrowed_quantile(scored.select(F.abs(e).alias("e")), "e", 0.5)
+    got = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.lit(middle).cast("double").alias("medae"), F.sum(e * e).alias("sse"), F.var_pop(actual).alias("v"))
     return got.select("n", F.round(1 - F.col("sse") / (F.col("v") * F.col("n")), 6).alias("r2"), *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "medae")])
 
 

@@ -90,3 +90,20 @@ def test_rows_are_explained(spark):
     assert parts["weight"]["direction"] == "above" and parts["weight"]["z"] > 5 > abs(parts["age"]["z"]) and parts["weight"]["median"] == round(float(np.median(f.weight)), 4)
     peers = [r for r in anomaly.conditional_examples(df, "key", ["age", "weight"]).collect() if r["key"] == 7 and r["value"] == "weight"]
     assert peers and peers[0]["x"] == 300.0 and peers[0]["q1"] <= peers[0]["median"] <= peers[0]["q3"] < 300 and peers[0]["n_peers"] >= 5
+
+
+def test_quantile_from_a_bracket_is_exact(spark):
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=2001), np.round(rng.exponential(size=1500), 1), np.repeat([1.0, 2.0], 700), rng.normal(size=2) * 1e200):
+        df = spark.createDataFrame(pd.DataFrame({"x": x}))
+        for share in (0.0, 0.3, 0.5, 1.0):
+            for accuracy in (20, 10_000):
+                assert np.isclose(ordered.narrowed_quantile(df, "x", share, accuracy), np.quantile(x, share), rtol=1e-12, atol=0)
+    assert ordered.narrowed_quantile(spark.createDataFrame([(None,)], "x double"), "x", 0.5) is None
+
+
+def test_median_error_is_not_held_by_one_task(spark):
+    scored = spark.range(1000).selectExpr("id * 1D AS y", "id * 1.5D + 2 AS p")
+    got = supervised.regression_metrics(scored)
+    assert got.first()["medae"] == round(float(np.median(np.arange(1000) * 0.5 + 2)), 4)
+    assert "percentile(" not in got._jdf.queryExecution().toString()
