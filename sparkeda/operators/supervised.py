@@ -242,15 +242,44 @@ def regression_metrics(scored: DataFrame, actual: str = "y", fitted: str = "p")
     return got.select("n", F.round(1 - F.col("sse") / (F.col("v") * F.col("n")), 6).alias("r2"), *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "medae")])
 
 
+def fold_fits(rows: DataFrame, folds: int, k: int, penalty: float) -> list[np.ndarray]:
+    """For each fold (intercept, coefficients) of y on x0, x1, ... from the other folds: one aggregate for the means and one for all moments by fold."""
+    names = [*[f"x{i}" for i in range(k)], "y"]
+    middle = rows.agg(*[F.avg(c).alias(c) for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    if middle["y"] is None:
+        return [np.zeros(k + 1) for _ in range(folds)]
+    scale = np.array([middle[f"s_{c}"] if middle[f"s_{c}"] > 1e-12 * abs(middle[c]) else 1.0 for c in names])  # of a constant only rounding is left
+    z = [(F.col(c) - middle[c]) / s for c, s in zip(names, scale.tolist(), strict=True)]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i + 1)]
+    cells = rows.groupBy("_fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(z[i]).alias(f"m{i}") for i in range(k + 1)], *[F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i, j in pairs]).collect()
+    out = []
+    for fold in range(folds):
+        others = [c for c in cells if c["_fold"] != fold]
+        n = sum(c["n"] for c in others)
+        if not n:
+            raise ValueError("fewer folds with complete rows than a fit needs")
+        mean = np.array([sum(c[f"m{i}"] for c in others) for i in range(k + 1)]) / n
+        gram = np.zeros((k + 1, k + 1))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = sum(c[f"p{i}_{j}"] for c in others) - n * mean[i] * mean[j]
+        std = np.sqrt(np.maximum(np.diag(gram)[:k] / n, 0))
+        std[std < 1e-7] = 1.0
+        beta = np.linalg.solve(gram[:k, :k] / np.outer(std, std) + penalty * np.eye(k), gram[:k, k] / std) / std * scale[k] / scale[:k]
+        at = np.array([middle[c] for c in names]) + mean * scale
+        out.append(np.concatenate([[at[k] - beta @ at[:k]], beta]))
+    return out
+
+
+def by_fold(fits: list[np.ndarray]) -> Column:
+    """The prediction of the fit that belongs to a row's fold: one scan for all folds."""
+    p = [sum((F.lit(float(b)) * F.col(f"x{j}") for j, b in enumerate(beta[1:])), F.lit(float(beta[0]))) for beta in fits]
+    return F.get(F.array(*p), F.col("_fold"))
+
+
 def ridge_probe(df: DataFrame, target: str, features: list[str], key: str, folds: int = 3, penalty: float = 1.0) -> DataFrame:
     """Cross-validated predictions of ridge regression by normal equations: key, y, p."""
-    rows = df.withColumn("_fold", fold([key], folds))
-    out = None
-    for i in range(folds):
-        beta, facts = linear_fit(rows.where(F.col("_fold") != i), target, features, penalty)
-        one = rows.where(F.col("_fold") == i).select(key, finite(target).alias("y"), predicted(features, beta, facts).alias("p")).dropna()
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = df.select(key, fold([key], folds).alias("_fold"), finite(target).alias("y"), *[finite(f).alias(f"x{i}") for i, f in enumerate(features)]).dropna(subset=["y", *[f"x{i}" for i in range(len(features))]])
+    return rows.select(key, "y", by_fold(fold_fits(rows, folds, len(features), penalty)).alias("p")).dropna(subset=[key])
 
 
 def huber_probe(df: DataFrame, target: str, features: list[str], key: str, folds: int = 3) -> DataFrame:
@@ -258,14 +287,14 @@ def huber_probe(df: DataFrame, target: str, features: list[str], key: str, folds
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    rows = df.select(key, fold([key], folds).alias("_fold"), finite(target).alias("y"), *[finite(f).alias(f) for f in features]).dropna()
-    rows = VectorAssembler(inputCols=features, outputCol="x").transform(rows).select(key, "_fold", "y", "x")
-    out = None
+    names = [f"x{i}" for i in range(len(features))]
+    rows = df.select(key, fold([key], folds).alias("_fold"), finite(target).alias("y"), *[finite(f).alias(c) for f, c in zip(features, names, strict=True)]).dropna(subset=[key, "y", *names])
+    fits = []
     for i in range(folds):
-        model = LinearRegression(featuresCol="x", labelCol="y", predictionCol="p", loss="huber", maxIter=50).fit(rows.where(F.col("_fold") != i))
-        one = model.transform(rows.where(F.col("_fold") == i)).select(key, "y", "p")
-        out = one if out is None else out.unionByName(one)
-    return out
+        train = VectorAssembler(inputCols=names, outputCol="x").transform(rows.where(F.col("_fold") != i).select("y", *names)).select("y", "x")
+        model = LinearRegression(featuresCol="x", labelCol="y", loss="huber", maxIter=50).fit(train)
+        fits.append(np.concatenate([[model.intercept], model.coefficients.toArray()]))
+    return rows.select(key, "y", by_fold(fits).alias("p"))
 
 
 def residual_bins(scored: DataFrame, actual: str, fitted: str, bins: int = 10) -> DataFrame:

@@ -107,3 +107,27 @@ def test_median_error_is_not_held_by_one_task(spark):
     got = supervised.regression_metrics(scored)
     assert got.first()["medae"] == round(float(np.median(np.arange(1000) * 0.5 + 2)), 4)
     assert "percentile(" not in got._jdf.queryExecution().toString()
+
+
+def test_probes_of_all_folds_read_the_rows_once(spark):
+    rng = np.random.default_rng(4)
+    f = pd.DataFrame({"key": np.arange(300), "a": rng.normal(50, 9, 300), "b": rng.exponential(size=300), "same": 7.3})
+    f["y"] = 3 * f["a"] - f["b"] + rng.normal(size=300)
+    df = spark.createDataFrame(f).withColumn("y", F.when(F.col("key") != 5, F.col("y")))
+    fold = {r["key"]: r["f"] for r in df.select("key", supervised.fold(["key"], 3).alias("f")).collect()}
+    f = f[f["key"] != 5].assign(fold=f["key"].map(fold))
+    want = {}
+    for i in range(3):
+        train, test = f[f["fold"] != i], f[f["fold"] == i]
+        x = train[["a", "b", "same"]]
+        m, s = x.mean(), x.std(ddof=0).where(lambda v: v > 1e-9, 1.0)
+        z = ((x - m) / s).to_numpy()
+        beta = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (train["y"] - train["y"].mean()))
+        want |= dict(zip(test["key"], train["y"].mean() + ((test[["a", "b", "same"]] - m) / s).to_numpy() @ beta, strict=True))
+    ridge = supervised.ridge_probe(df, "y", ["a", "b", "same"], "key")
+    got = {r["key"]: r["p"] for r in ridge.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    huber = supervised.huber_probe(df, "y", ["a", "b"], "key")
+    assert all(abs(r["p"] - r["y"]) < 5 for r in huber.collect()) and huber.count() == 299
+    for out in (ridge, huber):
+        assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
