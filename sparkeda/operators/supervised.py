@@ -273,7 +273,7 @@ def fold_fits(rows: DataFrame, folds: int, k: int, penalty: float) -> list[np.nd
 def by_fold(fits: list[np.ndarray]) -> Column:
     """The prediction of the fit that belongs to a row's fold: one scan for all folds."""
     p = [sum((F.lit(float(b)) * F.col(f"x{j}") for j, b in enumerate(beta[1:])), F.lit(float(beta[0]))) for beta in fits]
-    return F.get(F.array(*p), F.col("_fold"))
+    return F.coalesce(*[F.when(F.col("_fold") == i, c) for i, c in enumerate(p)])
 
 
 def ridge_probe(df: DataFrame, target: str, features: list[str], key: str, folds: int = 3, penalty: float = 1.0) -> DataFrame:
@@ -282,19 +282,153 @@ def ridge_probe(df: DataFrame, target: str, features: list[str], key: str, folds
     return rows.select(key, "y", by_fold(fold_fits(rows, folds, len(features), penalty)).alias("p")).dropna(subset=[key])
 
 
-def huber_probe(df: DataFrame, target: str, features: list[str], key: str, folds: int = 3) -> DataFrame:
-    """Cross-validated predictions of Huber regression (MLlib)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def fold_blocks(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(fold, n, mean, gram, body): some thousand rows of one fold, their columns packed as doubles one after another, with means and the products about them."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            fold, *columns = (c.to_numpy() for c in batch.columns)
+            x, held = np.stack(columns), np.unique(fold)
+            parts = [x[:, fold == f] for f in held]
+            means = [part.mean(1) for part in parts]
+            grams = [(d := part - m[:, None]) @ d.T for part, m in zip(parts, means, strict=True)]
+            columns = [held, [part.shape[1] for part in parts], means, [g.ravel() for g in grams], [part.tobytes() for part in parts]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary()), strict=True)], names=["fold", "n", "mean", "gram", "body"])
+
+    return rows.select("_fold", *names).mapInArrow(run, "fold int, n long, mean array<double>, gram array<double>, body binary")
+
+
+def summed(blocks: DataFrame, each) -> dict[int, np.ndarray]:
+    """The arrays that each(columns of a batch) yields with a number, added up by number."""
+    import pyarrow as pa
+
+    def run(batches):
+        found = {}
+        for batch in batches:
+            for i, m in each(*batch.columns):
+                found[i] = found.get(i, 0.0) + m.ravel()
+        for i, m in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, i, np.int32)), pa.array(np.arange(m.size, dtype=np.int32)), pa.array(m)], names=["i", "at", "v"])
+
+    sums = {}
+    for r in blocks.mapInArrow(run, "i int, at int, v double").groupBy("i", "at").agg(F.sum("v").alias("v")).collect():
+        sums.setdefault(r["i"], {})[r["at"]] = r["v"]
+    return {i: np.array([v[j] for j in range(len(v))]) for i, v in sums.items()}
+
+
+def fold_moments(blocks: DataFrame, k: int, middle: np.ndarray) -> dict[int, np.ndarray]:
+    """For each fold the moments of (1, x0 - middle, ..., y - middle)."""
+
+    def each(fold, n, mean, gram):
+        for f, m, c, g in zip(fold.to_pylist(), n.to_pylist(), mean.to_pylist(), gram.to_pylist(), strict=True):
+            d = np.array([1.0, *(np.array(c) - middle)])
+            out = m * np.outer(d, d)
+            out[1:, 1:] += np.array(g).reshape(k + 1, k + 1)
+            yield f, out
+
+    return {i: m.reshape(k + 2, k + 2) for i, m in summed(blocks.select("fold", "n", "mean", "gram"), each).items()}
+
+
+def huber_sums(blocks: DataFrame, k: int, middle: np.ndarray, scale: np.ndarray, at: dict[int, tuple[np.ndarray, float]]) -> dict[int, np.ndarray]:
+    """For each fit (coefficients, cut) in `at`, over the rows of other folds with residual r: the moments of (1, x0, ..., r) where |r| <= cut, and those by weight 1 / |r| elsewhere."""
 
+    def each(folds, bodies):
+        for fold, body in zip(folds.to_pylist(), bodies, strict=True):
+            z = (np.frombuffer(body.as_buffer()).reshape(k + 1, -1) - middle[:, None]) / scale[:, None]
+            b = np.vstack([np.ones(z.shape[1]), z])
+            for i, (beta, cut) in at.items():
+                if i != fold:
+                    b[-1] = z[-1] - beta @ b[:-1]
+                    e = np.abs(b[-1])
+                    weights = (e <= cut).astype(float), np.divide(1.0, e, out=np.zeros_like(e), where=e > cut)
+                    yield i, np.stack([(b * w) @ b.T for w in weights])
+
+    return {i: m.reshape(2, k + 2, k + 2) for i, m in summed(blocks.select("fold", "body"), each).items()}
+
+
+class HuberFit:
+    """Newton's method for n s + sum of s h(r / s) over coefficients and scale s > 0, where h(t) is t^2 up to epsilon and 2 epsilon |t| - epsilon^2 beyond.
+
+    As long as no row passes the cut epsilon s, the least point is known in closed form; each step goes there. Where the rows below the cut leave
+    some coefficient open, the rows above it enter by the parabola that touches |r|. A step that makes the sum larger is halved. It starts from least
+    squares, by the moments of (1, x0, ..., y) of all rows.
+    """
+
+    def __init__(self, moments: np.ndarray, epsilon: float):
+        self.epsilon, self.n, self.best, self.done = epsilon, moments[0, 0], np.inf, False
+        mean = moments[0, 1:-1] / self.n
+        std = np.sqrt(np.maximum(np.diag(moments)[1:-1] / self.n - mean**2, 0))
+        std[std < 1e-7] = 1.0
+        self.basis = np.diag([1.0, *(1 / std)])
+        self.basis[0, 1:] = -mean / std
+        gram, v = moments[:-1, :-1], moments[:-1, -1]
+        self.full = self.rank(gram)
+        self.beta = self.solve(gram, v)
+        self.scale = max(np.sqrt(max(moments[-1, -1] - v @ self.beta, 0.0) / self.n), 1e-150)
+
+    def solve(self, gram: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The shortest solution on features with mean 0 and deviation 1 in this fit's rows: a constant one gets 0."""
+        return self.basis @ np.linalg.pinv(self.basis.T @ gram @ self.basis, 1e-12, hermitian=True) @ self.basis.T @ v
+
+    def rank(self, gram: np.ndarray) -> int:
+        return np.linalg.matrix_rank(self.basis.T @ gram @ self.basis, 1e-12 * self.n, hermitian=True)
+
+    def step(self, inner: np.ndarray, outer: np.ndarray) -> None:
+        """Goes on from the moments at beta and the cut."""
+        s, e = self.scale, self.epsilon
+        free, q = self.n - (self.n - inner[0, 0]) * e * e, inner[-1, -1]
+        value = free * s + q / s + 2 * e * outer[-1, -1]
+        if value > self.best + 1e-12 * abs(self.best):
+            self.move = self.move / 2
+        else:
+            self.best, self.base = value, np.append(self.beta, s)
+            gram, v, pull = inner[:-1, :-1], inner[:-1, -1], outer[:-1, -1]
+            if self.rank(gram) == self.full:
+                a, b = self.solve(gram, v), e * self.solve(gram, pull)
+                rest, free = q - a @ v, free - b @ gram @ b
+            else:
+                a, b = self.solve(gram + e * s * outer[:-1, :-1], v + e * s * pull), 0.0 * pull
+                rest = q - 2 * a @ v + a @ gram @ a
+            scale = max(np.sqrt(max(rest, 0.0) / free), 1e-4 * s) if free > 0 else 2 * s  # below, rounding decides
+            self.move = np.append(a + scale * b, scale - s)
+        self.beta, self.scale = (self.base + self.move)[:-1], max((self.base + self.move)[-1], 1e-150)
+        size = np.abs(self.beta).max()
+        self.done = np.abs(self.move).max() <= 1e-8 * self.scale + 1e-15 * size or self.scale <= 1e-14 * size  # rounding is near 1e-16 of the size
+
+
+def huber_fits(rows: DataFrame, folds: int, k: int, epsilon: float = 1.35, rounds: int = 100) -> list[np.ndarray]:
+    """For each fold (intercept, coefficients) of the Huber regression of y on x0, x1, ... from the other folds: rows are packed once, then one pass a step for all folds."""
+    blocks = fold_blocks(rows, [*[f"x{i}" for i in range(k)], "y"]).persist()
+    try:
+        total, *sums = blocks.agg(F.sum("n"), *[F.sum(F.col("n") * F.col("mean")[i]) for i in range(k + 1)]).first()
+        if not total:
+            return [np.zeros(k + 1) for _ in range(folds)]
+        middle = np.array(sums) / total
+        moments = fold_moments(blocks, k, middle)
+        if len(moments) < 2:
+            raise ValueError("fewer folds with complete rows than a fit needs")
+        scale = np.sqrt(np.diag(sum(moments.values()))[1:] / total)
+        scale[scale <= 1e-12 * np.abs(middle)] = 1.0  # of a constant only rounding is left
+        unit = np.outer([1.0, *scale], [1.0, *scale])
+        fits = [HuberFit(sum(m for f, m in moments.items() if f != i) / unit, epsilon) for i in range(folds)]
+        for _ in range(rounds):
+            todo = {i: (f.beta, epsilon * f.scale) for i, f in enumerate(fits) if not f.done}
+            if not todo:
+                break
+            for i, (inner, outer) in huber_sums(blocks, k, middle, scale, todo).items():
+                fits[i].step(inner, outer)
+    finally:
+        blocks.unpersist()
+    betas = [f.beta[1:] * scale[k] / scale[:k] for f in fits]
+    return [np.concatenate([[middle[k] + f.beta[0] * scale[k] - b @ middle[:k]], b]) for f, b in zip(fits, betas, strict=True)]
+
+
+def huber_probe(df: DataFrame, target: str, features: list[str], key: str, folds: int = 3) -> DataFrame:
+    """Cross-validated predictions of Huber regression: key, y, p."""
     names = [f"x{i}" for i in range(len(features))]
     rows = df.select(key, fold([key], folds).alias("_fold"), finite(target).alias("y"), *[finite(f).alias(c) for f, c in zip(features, names, strict=True)]).dropna(subset=[key, "y", *names])
-    fits = []
-    for i in range(folds):
-        train = VectorAssembler(inputCols=names, outputCol="x").transform(rows.where(F.col("_fold") != i).select("y", *names)).select("y", "x")
-        model = LinearRegression(featuresCol="x", labelCol="y", loss="huber", maxIter=50).fit(train)
-        fits.append(np.concatenate([[model.intercept], model.coefficients.toArray()]))
-    return rows.select(key, "y", by_fold(fits).alias("p"))
+    return rows.select(key, "y", by_fold(huber_fits(rows, folds, len(features))).alias("p"))
 
 
 def residual_bins(scored: DataFrame, actual: str, fitted: str, bins: int = 10) -> DataFrame:

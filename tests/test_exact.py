@@ -131,3 +131,65 @@ def test_probes_of_all_folds_read_the_rows_once(spark):
     assert all(abs(r["p"] - r["y"]) < 5 for r in huber.collect()) and huber.count() == 299
     for out in (ridge, huber):
         assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def huber_loss(b, x, y):
+    """The sum at the best scale for coefficients b, by bisection of its slope in the scale."""
+    r = np.abs(y - b[0] - x @ b[1:])
+    lo, hi = 1e-12, 1e6
+    for _ in range(200):
+        s = math.sqrt(lo * hi)
+        lo, hi = (s, hi) if len(r) < (np.minimum(r / s, 1.35) ** 2).sum() else (lo, s)
+    t = r / s
+    return (s + s * np.where(t <= 1.35, t * t, 2.7 * t - 1.35**2)).sum()
+
+
+def huber_data(kind):
+    rng = np.random.default_rng(6)
+    f = pd.DataFrame({"key": np.arange(400), "a": rng.normal(1e6, 3, 400), "b": rng.exponential(size=400), "same": 7.3})
+    f["y"] = 2 * (f["a"] - 1e6) - 5 * f["b"] + {"normal": rng.normal(size=400), "cauchy": rng.standard_cauchy(400), "line": np.where(rng.random(400) < 0.9, 0.0, rng.exponential(50, 400)), "rare": rng.normal(size=400)}[kind]
+    if kind == "rare":  # a feature of five rows, far from each other
+        f["b"] = 0.0
+        f.loc[[7, 80, 150, 220, 310], ["b", "y"]] = [[1.0, v] for v in (900.0, 5000.0, -3000.0, 1e4, 2.5e4)]
+    return f
+
+
+@pytest.mark.parametrize("kind", ["normal", "cauchy", "line", "rare"])
+def test_huber_fits_are_the_least_points(spark, kind):
+    f = huber_data(kind)
+    df = spark.createDataFrame(f).repartition(3).select("*", supervised.fold(["key"], 3).alias("_fold"))
+    f["fold"] = f["key"].map({r["key"]: r["_fold"] for r in df.collect()})
+    fits = supervised.huber_fits(df.select("_fold", "y", F.col("a").alias("x0"), F.col("b").alias("x1"), F.col("same").alias("x2")), 3, 3)
+    for i, beta in enumerate(fits):
+        train = f[f["fold"] != i]
+        x, y = train[["a", "b", "same"]].to_numpy() - [1e6, 0, 7.3], train["y"].to_numpy()
+        b = np.array([beta[0] + beta[1:] @ [1e6, 0, 7.3], *beta[1:]])
+        assert abs(b[3]) < 1e-9
+        best = huber_loss(b, x, y)
+        for j in range(3):
+            for step in (1e-5, -1e-5, 1e-2, -1e-2, 3.0, -3.0):
+                assert huber_loss(b + step * np.eye(4)[j], x, y) >= best - 1e-10 * abs(best)
+        if kind == "line":
+            assert np.allclose(b, [0, 2, -5, 0], atol=1e-7)
+
+
+def test_huber_fits_of_all_folds_need_few_passes(spark):
+    df = spark.createDataFrame(huber_data("cauchy")).repartition(3).persist()
+    df.count()
+    sc, held = spark.sparkContext, spark.sparkContext._jsc.getPersistentRDDs().size()
+    sc.setJobGroup("huber", "huber")
+    supervised.huber_probe(df, "y", ["a", "b"], "key")
+    jobs = len(sc.statusTracker().getJobIdsForGroup("huber"))
+    sc._jsc.clearJobGroup()
+    assert 0 < jobs <= 40 and sc._jsc.getPersistentRDDs().size() == held
+
+
+def test_huber_fits_of_odd_tables(spark):
+    rows = "_fold int, y double, x0 double"
+    assert [b.tolist() for b in supervised.huber_fits(spark.createDataFrame([], rows), 3, 1)] == [[0.0, 0.0]] * 3
+    same = spark.createDataFrame([(i % 3, 4.0, float(i)) for i in range(30)], rows)
+    assert all(np.allclose(b, [4.0, 0.0]) for b in supervised.huber_fits(same, 3, 1))
+    with pytest.raises(ValueError, match="fewer folds"):
+        supervised.huber_fits(spark.createDataFrame([(1, 1.0, 2.0)], rows), 3, 1)
+    far = spark.createDataFrame([(i % 3, 1e15 if i == 5 else 2.0 * i + (i % 7), float(i)) for i in range(300)], rows)
+    assert all(abs(b[1] - 2) < 0.01 for b in supervised.huber_fits(far, 3, 1))
